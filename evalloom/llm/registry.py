@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from evalloom.llm import exact_dedup, language, packing, token_ids
+from evalloom.llm import exact_dedup, language, packing, token_ids, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op4_token_ids": token_ids.op4_token_ids,
     "op5_packing": packing.op5_packing,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op10_language": language.op10_language,
 }
 
