@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from evalloom.llm import exact_dedup, language, packing, token_ids, toxicity
+from evalloom.llm import exact_dedup, jaccard_join, language, mixing, packing, token_ids, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_mixing": mixing.op3_mixing,
     "op4_token_ids": token_ids.op4_token_ids,
     "op5_packing": packing.op5_packing,
+    "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_toxicity": toxicity.op7_toxicity,
     "op10_language": language.op10_language,
 }

@@ -241,6 +241,24 @@ def fit_weights(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
     return w
 
 
+class Model:
+    """Lexicon and weights; small, and sent to the executors whole."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> None:
+        usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out_col())
+        picked = sample_of(usable, train_rows).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+        rows = docs.join(F.broadcast(picked), "doc_id").select("text", "toxic").limit(2 * train_rows).toArrow()  # picked: train_rows at most
+        texts, y = rows.column("text").to_pylist(), rows.column("toxic").to_pylist()
+        self.lexicon = learn_lexicon(texts, y)
+        self.weights = fit_weights(self.features(texts), np.array(y, float))
+
+    def features(self, texts: list[str]) -> np.ndarray:
+        return np.array([self.lexicon.features(t) for t in texts]).reshape(len(texts), 2 + len(SYMBOLS))
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(x))] @ self.weights, -30, 30)))
+
+
 def score_toxicity(df: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row: doc_id, held_out, score (0 to 1), predicted, clauses (matched ones).
 
@@ -249,24 +267,31 @@ def score_toxicity(df: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROW
     scored. Without usable labels the lexicon is empty and threats alone count.
     """
     docs = docs_of(df)
-    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out_col())
-    picked = sample_of(usable, train_rows).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.join(F.broadcast(picked), "doc_id").select("text", "toxic").limit(2 * train_rows).toArrow()  # picked: train_rows at most
-    texts, y = rows.column("text").to_pylist(), rows.column("toxic").to_pylist()
-    lexicon = learn_lexicon(texts, y)
-    weights = fit_weights(np.array([lexicon.features(t) for t in texts]).reshape(len(texts), -1), np.array(y, float))
-    del texts, rows
+    model = Model(docs, labels, train_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             ids = ids_of(b)
-            x = np.array([lexicon.features(t) for t in b.column(1).to_pylist()])
-            p = 1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(x))] @ weights, -30, 30)))
+            x = model.features(b.column(1).to_pylist())
+            p = model.score(x)
             clauses = np.rint(np.expm1(x[:, 2:])).sum(axis=1).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([held_out(i) for i in ids.tolist()]), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(clauses)], names=["doc_id", "held_out", "score", "predicted", "clauses"])
 
     return docs.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, clauses long")
 
 
+def keep_clean(df: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of df, all columns, whose text scores below threshold; rows without a text or an id stay."""
+    model = Model(docs_of(df), labels, train_rows)
+    at = df.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            p = model.score(model.features([t or "" for t in b.column(at).to_pylist()]))
+            yield b.filter(pa.array(p < threshold))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
