@@ -211,7 +211,7 @@ def jaccard_join(df: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
 
     search = cut(sets.join(found, "doc_id", "left_semi").select("doc_id", "n", "prefix").dropDuplicates(["doc_id", "n"]).mapInArrow(_exploded, "gram long, doc_id long, n long"))
     full = cut(docs.join(found, "doc_id", "left_semi").mapInArrow(sets_of(k, percent, full=True), FULL))
-    links = _links(search, full, percent)
+    links = links_between(search, full, percent)
 
     # Rows of equal sets link; so do rows that repeat an id.
     same = sets.filter("n > 0").join(classes, ["digest", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct()
@@ -219,8 +219,11 @@ def jaccard_join(df: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     return sets.select("doc_id", F.col("n").alias("n_shingles")).join(joined, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
-def _links(search: DataFrame, full: DataFrame, percent: int, most_rounds: int = 4) -> DataFrame:
-    """Links (a, b) that connect all that is connected, from entries (gram, doc_id, n) and the full sets."""
+def links_between(search: DataFrame, full: DataFrame, percent: int, most_rounds: int = 4, set_aside: bool = True) -> DataFrame:
+    """Links (a, b) that connect all that is connected, from entries (gram, doc_id, n) and the full sets.
+
+    set_aside: whether partners share enough entries that the longest lists needn't be merged.
+    """
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = full.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("grams").alias("sa"))
@@ -230,7 +233,7 @@ def _links(search: DataFrame, full: DataFrame, percent: int, most_rounds: int =
 
     lists = search.groupBy("gram").agg(F.count("*").alias("df"), F.min("doc_id").alias("first")).filter("df > 1")
     entries = search.join(lists, "gram")
-    aside = F.greatest(F.lit(1), F.ceil(F.ceil(F.col("n") * percent / 100) * EXTRA / 100)) - 1
+    aside = F.greatest(F.lit(1), F.ceil(F.ceil(F.col("n") * percent / 100) * EXTRA / 100)) - 1 if set_aside else F.lit(0)
     rank = F.row_number().over(W.partitionBy("doc_id", "n").orderBy(F.desc("df"), "gram"))
     index = cut(entries.withColumn("short", rank > aside).select("gram", "doc_id", "first", "short"))
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from evalloom.llm import exact_dedup, jaccard_join, language, mixing, packing, token_ids, toxicity
+from evalloom.llm import embedding_dedup, exact_dedup, jaccard_join, language, mixing, packing, token_ids, toxicity
 
 QUERIES = {
+    "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_mixing": mixing.op3_mixing,
     "op4_token_ids": token_ids.op4_token_ids,
