@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evalloom.llm import embedding_dedup, exact_dedup, jaccard_join, language, mixing, packing, token_ids, toxicity
+from evalloom.llm import embedding_dedup, exact_dedup, jaccard_join, language, licenses, mixing, packing, substring_dedup, token_ids, toxicity
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
@@ -12,9 +12,12 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_licenses": licenses.op8_licenses,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_language": language.op10_language,
 }
 
 SQL = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op8_licenses": licenses.OP8_SQL,
 }
