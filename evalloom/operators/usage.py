@@ -110,10 +110,14 @@ def first_token(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.groupBy(*keys).agg(F.min("ms").alias("first_event_ms"), seen.alias("ttft_ms"), (F.max("ms") - seen).alias("time_after_first_token_ms"))
 
 
+#: Transient statuses and error classes.
+RETRY_STATUS = (408, 409, 429)
+RETRY_ERRORS = ("APIConnectionError", "APITimeoutError", "InternalServerError", "RateLimitError")
+
+
 def retryable(http_status: Column, error_type: Column) -> Column:
-    """Transient failures by status or by the error's class name."""
-    by_status = http_status.isin(408, 409, 429) | http_status.between(500, 599)
-    return F.coalesce(by_status, F.lit(False)) | F.coalesce(error_type.rlike(r"(?i)(timeout|connection|ratelimit|internalserver)"), F.lit(False))
+    """Is a failure transient, by its status or its error's class? Never null."""
+    return F.coalesce(http_status.isin(*RETRY_STATUS) | (http_status >= 500), F.lit(False)) | F.coalesce(error_type.isin(*RETRY_ERRORS), F.lit(False))
 
 
 def backoff_seconds(attempt: Column, jitter: Column) -> Column:
@@ -126,5 +130,6 @@ def retry_cap(cap: Column, limit: Column) -> Column:
 
 
 def finish_status(status: Column, reason: Column) -> Column:
-    """A provider's end states as ours: stop, length or error."""
-    return F.when((status == "incomplete") & (reason == "max_output_tokens"), "length").when(status.isin("incomplete", "failed", "cancelled"), "error").when(status == "completed", "stop").otherwise(status)
+    """A response's end: length where the output cap cut it, error where it failed, else as told."""
+    cut = F.coalesce((status == "incomplete") & (reason == "max_output_tokens"), F.lit(False))
+    return F.when(cut, "length").when(status.isin("incomplete", "failed"), "error").otherwise(F.coalesce(status, F.lit("unknown")))
