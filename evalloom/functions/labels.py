@@ -92,8 +92,12 @@ def level_label(level: Column) -> Column:
 def soft_distribution(votes: Column) -> Column:
     """Mean soft vector of an array of labels; unknown ones are skipped, none at all is null."""
     known = F.filter(votes, lambda v: F.coalesce(F.trim(v).isin(*SOFT), F.lit(False)))
-    parts = [F.aggregate(F.transform(known, lambda v, k=k: F.try_element_at(lookup({x: p[k] for x, p in SOFT.items()}), F.trim(v))), F.lit(0.0), lambda acc, x: acc + x) for k in range(4)]
-    return F.when(F.size(known) > 0, F.array(*[p / F.size(known) for p in parts]))
+
+    def share(k: int) -> Column:
+        weights = F.transform(known, lambda v: F.try_element_at(lookup({x: p[k] for x, p in SOFT.items()}), F.trim(v)))
+        return F.aggregate(weights, F.lit(0.0), lambda acc, x: acc + x) / F.size(known)
+
+    return F.when(F.size(known) > 0, F.array(*[share(k) for k in range(4)]))
 
 
 def jensen_shannon(p: Column, q: Column) -> Column:

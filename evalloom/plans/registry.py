@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from evalloom.plans import agree
+
+QUERIES: dict = {**agree.QUERIES}
+SQL: dict = {**agree.SQL}
