@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evalloom.plans import agree
+from evalloom.plans import agree, logs
 
-QUERIES: dict = {**agree.QUERIES}
-SQL: dict = {**agree.SQL}
+QUERIES: dict = {**agree.QUERIES, **logs.QUERIES}
+SQL: dict = {**agree.SQL, **logs.SQL}
