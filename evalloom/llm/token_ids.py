@@ -47,33 +47,66 @@ def public_vocabulary() -> str:
 class WordEncoder:
     """Ids of texts as the tokenizers library gives them, a word at a time.
 
-    Right for vocabularies that drop white space (checked: encode() of a sample of texts is held
-    against the library by the tests). Texts come as UTF-8 bytes; each ends with end_id.
+    For vocabularies that drop white space and case, pre-tokenize by Unicode classes and map bytes; the
+    tests hold it against the library's own encoding of whole texts. Texts come as UTF-8 bytes; each ends
+    with end_id. A word that ends in a mark is looked up without it; words of ASCII letters go straight to
+    the library's BPE model, others through its whole chain, many joined by a mark of their own.
     """
 
+    MARK = "\x01"
+
     def __init__(self, path: str, end_id: int = END_ID, most: int = CACHED_WORDS) -> None:
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
+        self._model = self._tok.model
         self._dtype = np.dtype("<u2" if self._tok.get_vocab_size() <= 1 << 16 else "<u4")
         self._end, self._most, self._of = np.array([end_id], self._dtype).tobytes(), most, {}
+        (self._mark,) = self._ids(self.MARK)
+        self._ends = {m.encode(): self._packed(self._ids(m)) for m in ".,"}
 
     @property
     def dtype(self) -> np.dtype:
         return self._dtype
 
+    def _ids(self, text: str) -> list[int]:
+        return self._tok.encode(text, add_special_tokens=False).ids
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, self._dtype).tobytes()
+
+    def _learn(self, new: set[bytes]) -> None:
+        known, ends = self._of, self._ends
+        cores = {w: w[:-1] for w in new if w[-1:] in ends and w[:-1].decode().lower().isalpha()}
+        wanted = (new - cores.keys()) | (set(cores.values()) - known.keys())
+        chain = []
+        tokenize = self._model.tokenize
+        for w in wanted:
+            if w.isalpha():  # of bytes: ASCII letters
+                known[w] = self._packed([t.id for t in tokenize(w.decode())])
+            else:
+                chain.append(w.decode())
+        plain = [w for w in chain if self.MARK not in w]
+        for w in chain:
+            if self.MARK in w:
+                known[w.encode()] = self._packed(self._ids(w))
+        parts = [plain[i : i + 64] for i in range(0, len(plain), 64)]
+        glue = f" {self.MARK} "
+        for part, e in zip(parts, self._tok.encode_batch_fast([glue.join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self._dtype)
+            cuts = np.flatnonzero(ids == self._mark).tolist()
+            for w, lo, hi in zip(part, [-1, *cuts], [*cuts, len(ids)], strict=True):
+                known[w.encode()] = ids[lo + 1 : hi].tobytes()
+        for w, core in cores.items():
+            known[w] = known[core] + ends[w[-1:]]
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, serialized."""
-        words = [t.split() for t in texts]  # at ASCII white space only, as these are bytes
-        known, kind = self._of, self._dtype
-        if len(known) > self._most:
-            known.clear()
-        new = list(set().union(*words) - known.keys())
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self._tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, kind).tobytes()
-        get = known.__getitem__
+        words = [t.lower().split() for t in texts]  # of bytes: ASCII letters, ASCII white space
+        if len(self._of) > self._most:
+            self._of.clear()
+        self._learn(set().union(*words) - self._of.keys())
+        get = self._of.__getitem__
         return [b"".join(map(get, ws)) + self._end for ws in words]
 
 
