@@ -16,6 +16,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType
 
 
 def first_object(text: str | None) -> str | None:
@@ -35,7 +36,7 @@ def first_object(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def object_text(s: pd.Series) -> pd.Series:
     return s.map(first_object)
 
@@ -51,7 +52,7 @@ def ratio(a: str | None, b: str | None, least: float = 0.0) -> float:
     return m.ratio() if least <= 0 or m.quick_ratio() >= least else 0.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
@@ -59,7 +60,7 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def sequence_ratio_from(least: float) -> Callable:
     """sequence_ratio, with 0 for pairs that can't reach least."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def bounded(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([ratio(x, y, least) for x, y in zip(a, b, strict=True)], dtype=float)
 
@@ -74,7 +75,7 @@ def tidy(text: str | None) -> str | None:
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", t)).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(tidy)
 
@@ -101,7 +102,7 @@ def is_asserted(fragment: str | None, patterns: list[str]) -> bool:
 
 
 def asserted(patterns: list[str]) -> Callable:
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(BooleanType())
     def found(s: pd.Series) -> pd.Series:
         return s.map(lambda t: is_asserted(t, patterns)).astype(bool)
 
