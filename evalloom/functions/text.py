@@ -85,7 +85,9 @@ def normalised(text: Column) -> Column:
 def trigrams(tokens: Column) -> Column:
     """Distinct runs of three tokens; none where there are fewer."""
     n = F.size(tokens)
-    some = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(tokens, i, 3))))
+    k = F.greatest(n - 2, F.lit(0))
+    shifted = [F.slice(tokens, i, k) for i in (1, 2, 3)]  # a lambda over slices of tokens would compute them anew for each
+    some = F.array_distinct(F.zip_with(F.zip_with(shifted[0], shifted[1], lambda a, b: F.concat_ws(" ", a, b)), shifted[2], lambda a, b: F.concat_ws(" ", a, b)))
     return F.when(n >= 3, some).otherwise(F.array().cast("array<string>"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evalloom.plans import agree, logs
+from evalloom.plans import agree, cases, logs
 
-QUERIES: dict = {**agree.QUERIES, **logs.QUERIES}
-SQL: dict = {**agree.SQL, **logs.SQL}
+QUERIES: dict = {**agree.QUERIES, **logs.QUERIES, **cases.QUERIES}
+SQL: dict = {**agree.SQL, **logs.SQL, **cases.SQL}
