@@ -6,13 +6,12 @@ partners share at least l grams within their first n - T + l ones; these alone a
 inverted list holds the documents that have it there. A document is dropped when fewer than l of its grams
 are in lists of two or more.
 
-For the rest, a document's l - 1 longest lists are set aside and its short lists are merged: every partner
-is in one of these. A candidate's remaining grams are probed by binary search, and it stays if the overlap
-reaches what the threshold asks of the two sizes.
+Documents that are left and share entries make up clusters. Within a cluster the search proper runs, chunk by
+chunk: a query's longest lists are set aside, its short lists are merged with counts, and each candidate that
+can still reach the overlap is probed in the long lists by binary search.
 
-Components need not see every pair of a large group of near copies: a first round compares each document
-with one other of its lists; then only documents whose components still differ are merged from the short
-lists, from the smaller component's side, so that no link between two components is lost.
+Components need not see every pair of a large group of near copies: documents that are connected within
+a task are not probed again, and a task returns a spanning forest of its links.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -36,7 +35,11 @@ BUCKET_ENTRIES = 500_000
 #: Ids of this many documents (16 MB) may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 #: Share of a set that its prefix is longer than it needs to be, in percent.
-EXTRA = 15
+EXTRA = 20
+#: The same for the documents that are left after the first look.
+MORE = 50
+#: Documents of a cluster that meet in one task, from either side.
+CHUNK = 1_024
 
 
 def needed(n, percent: int):
@@ -44,138 +47,208 @@ def needed(n, percent: int):
     return -(-percent * n // 100)
 
 
-def extra(n):
-    return np.maximum(1, -(-EXTRA * n // 100))
+def extra(n, share: int):
+    return np.maximum(1, -(-share * n // 100))
+
+
+def at_least(percent: int, share: int) -> Column:
+    """Entries that a set of n shares with any partner, of those that a prefix with this share of extra ones has."""
+    return F.greatest(F.lit(1), F.ceil(F.col("n") * min(percent, share) / 100))
 
 
 def gram_set(hashes: np.ndarray, k: int) -> np.ndarray:
     return np.unique(rolled(hashes, k))
 
 
-def sets_of(k: int, percent: int, full: bool):
-    """A function for mapInArrow: texts -> their sets (full), or what the search needs of them."""
+class Sets:
+    """Cuts texts into their sets of word n-grams."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+    def __init__(self, k: int) -> None:
+        self._k, self._hashes = k, WordHashes()
 
-        hashes = WordHashes()
-        for b in sliced(batches):
-            words = [t.lower().split() for t in bytes_of(b)]
-            flat = hashes([w for ws in words for w in ws])
-            at = np.r_[0, np.cumsum([len(ws) for ws in words])]
-            sets = [gram_set(flat[lo:hi], k) for lo, hi in zip(at[:-1], at[1:], strict=True)]
-            n = np.array([len(s) for s in sets], np.int64)
-            cols, names = [pa.array(ids_of(b)), pa.array(n)], ["doc_id", "n"]
-            if full:
-                cols, names = [*cols, pa.array([s.tobytes() for s in sets], pa.binary())], [*names, "grams"]
-            else:
-                most = np.minimum(n, n - needed(n, percent) + extra(n))
-                cols += [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s[:p].tobytes() for s, p in zip(sets, most.tolist(), strict=True)], pa.binary())]
-                names += ["digest", "prefix"]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+    def of(self, texts: list[bytes]) -> list[np.ndarray]:
+        words = [t.lower().split() for t in texts]  # of bytes: A-Z, and ASCII white space
+        flat = self._hashes([w for ws in words for w in ws])
+        at = np.r_[0, np.cumsum([len(ws) for ws in words])]
+        return [gram_set(flat[lo:hi], self._k) for lo, hi in zip(at[:-1], at[1:], strict=True)]
 
-    return run
+
+def prefix_size(n: np.ndarray, percent: int, share: int) -> np.ndarray:
+    return np.minimum(n, n - needed(n, percent) + extra(n, share))
 
 
-FULL, PREFIX = "doc_id long, n long, grams binary", "doc_id long, n long, digest binary, prefix binary"
+def full_sets(k: int):
+    """A function for mapInArrow: texts -> (doc_id, n, grams)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = Sets(k)
+        for b in sliced(batches, 256):
+            sets = make.of(bytes_of(b))
+            yield pa.RecordBatch.from_arrays([pa.array(ids_of(b)), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "n", "grams"])
 
-def _hit_rows(docs: np.ndarray) -> pa.RecordBatch:
-    d, c = np.unique(docs, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(d), -1, np.int32)), pa.array(d), pa.array(c.astype(np.int64)), pa.nulls(len(d), pa.binary()), pa.nulls(len(d), pa.binary()), pa.nulls(len(d), pa.binary())], names=BUCKETED)
+    return run
 
 
-BUCKETED = ["bucket", "doc_id", "hits", "docs", "runs", "grams"]
-BUCKETED_TYPES = "bucket int, doc_id long, hits long, docs binary, runs binary, grams binary"
+FULL = "doc_id long, n long, grams binary"
+#: What travels to a bucket: list entries (docs, runs, grams), or counted hits (docs, runs) and documents (docs, sizes, digests).
+PARTS = ["bucket", "kind", "docs", "runs", "grams"]
+PART_TYPES = "bucket int, kind string, docs binary, runs binary, grams binary"
 
 
-def fold(buckets: int):
-    """A function for mapInArrow: (doc_id, prefix) -> hits found within the task, and list entries by bucket.
+def fold(k: int, percent: int, buckets: int):
+    """A function for mapInArrow: texts -> parts for the buckets, from a few thousand documents at a time.
 
-    A gram that several documents of a few thousand have is an entry once, so that a very common gram
-    weighs little in its bucket; these documents' hits are counted here.
+    A gram that several of these have is one entry (of document -1), so that a very common gram weighs
+    little in its bucket; the hits of its documents are counted here.
     """
 
-    def emit(ids: np.ndarray, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        sets = [np.frombuffer(x, np.uint64) for x in blobs]
-        grams = np.concatenate(sets)
-        docs = np.repeat(ids, [len(s) for s in sets])
+    def emit(ids: np.ndarray, sets: list[np.ndarray], turn: int) -> pa.RecordBatch:
+        import xxhash
+
+        n = np.array([len(x) for x in sets], np.int64)
+        rows = [(turn % buckets, "docs", ids.tobytes(), n.tobytes(), b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets))]
+        most = prefix_size(n, percent, EXTRA)
+        grams = np.concatenate([x[:m] for x, m in zip(sets, most.tolist(), strict=True)])
+        docs = np.repeat(ids, most)
         order = np.argsort(grams, kind="stable")
         g, d = grams[order], docs[order]
-        first = np.r_[True, g[1:] != g[:-1]]
+        first = np.r_[True, g[1:] != g[:-1]][: len(g)]
         many = ~first
-        many[:-1] |= many[1:]
+        many[:-1] |= many[1:].copy()
         if many.any():
-            yield _hit_rows(d[many])
-        alone = ~many
-        lead = first & many
-        for keep, marked in ((alone, False), (lead, True)):
-            gg, dd = g[keep], np.full(int(keep.sum()), -1, np.int64) if marked else d[keep]
-            if not len(gg):
-                continue
-            bucket = ((gg >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            order = np.lexsort((dd, bucket))
-            gg, dd, bucket = gg[order], dd[order], bucket[order]
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-            rows = []
-            for k in np.flatnonzero(np.diff(cuts)):
-                part = slice(cuts[k], cuts[k + 1])
-                u, c = np.unique(dd[part], return_counts=True)
-                rows.append((int(k), u.tobytes(), c.astype(np.uint32).tobytes(), gg[part].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], names=BUCKETED)
+            u, c = np.unique(d[many], return_counts=True)
+            rows.append((turn % buckets, "hits", u.tobytes(), c.astype(np.int64).tobytes(), b""))
+        keep = first
+        g, d = g[keep], np.where(many[keep], -1, d[keep])
+        bucket = ((g >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        order = np.lexsort((d, bucket))
+        g, d, bucket = g[order], d[order], bucket[order]
+        new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (bucket[1:] != bucket[:-1])][: len(d)])
+        runs = np.diff(np.r_[new, len(d)]).astype(np.uint16 if len(d) < 1 << 16 else np.uint32)
+        runs = runs.astype(np.uint32)
+        cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+        heads = np.searchsorted(new, cuts)
+        for i in np.flatnonzero(np.diff(cuts)):
+            rows.append((int(i), "entries", d[new[heads[i] : heads[i + 1]]].tobytes(), runs[heads[i] : heads[i + 1]].tobytes(), g[cuts[i] : cuts[i + 1]].tobytes()))
+        kinds = (pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], names=PARTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, blobs, held = [], [], 0
+        make, ids, sets, held, turn = Sets(k), [], [], 0, 0
         for b in sliced(batches):
             ids.append(ids_of(b))
-            blobs += b.column(1).to_pylist()
+            sets += make.of(bytes_of(b))
             held += b.num_rows
             if held >= FOLD_DOCS:
-                yield from emit(np.concatenate(ids), blobs)
-                ids, blobs, held = [], [], 0
+                turn += 1 + int(ids[0][0]) % 7919
+                yield emit(np.concatenate(ids), sets, turn)
+                ids, sets, held = [], [], 0
         if held:
-            yield from emit(np.concatenate(ids), blobs)
+            yield emit(np.concatenate(ids), sets, turn + 1 + int(ids[0][0]) % 7919)
 
     return run
 
 
-def _entries(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    grams = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["grams"]])
-    docs = np.concatenate([np.repeat(np.frombuffer(d, np.int64), np.frombuffer(r, np.uint32)) for d, r in zip(pdf["docs"], pdf["runs"], strict=True)])
-    order = np.argsort(grams, kind="stable")
-    return grams[order], docs[order]
+def bucket_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The documents of a bucket with size and digest, and how many grams documents share with others."""
+    of = {kind: part for kind, part in pdf.groupby("kind")}
+    out = []
+    if "docs" in of:
+        p = of["docs"]
+        digests = b"".join(p["grams"])
+        ids = np.frombuffer(b"".join(p["docs"]), np.int64)
+        out.append(pd.DataFrame({"doc_id": ids, "n": np.frombuffer(b"".join(p["runs"]), np.int64), "digest": [digests[i : i + 16] for i in range(0, len(digests), 16)], "hits": 0}))
+    told = []
+    if "hits" in of:
+        told.append((np.frombuffer(b"".join(of["hits"]["docs"]), np.int64), np.frombuffer(b"".join(of["hits"]["runs"]), np.int64)))
+    if "entries" in of:
+        p = of["entries"]
+        g = np.frombuffer(b"".join(p["grams"]), np.uint64)
+        d = np.repeat(np.frombuffer(b"".join(p["docs"]), np.int64), np.frombuffer(b"".join(p["runs"]), np.uint32))
+        order = np.argsort(g, kind="stable")
+        g, d = g[order], d[order]
+        many = np.r_[False, g[1:] == g[:-1]]
+        many[:-1] |= many[1:].copy()
+        hit = d[many & (d >= 0)]
+        told.append((hit, np.ones(len(hit), np.int64)))
+    if told:
+        u, at = np.unique(np.concatenate([x for x, _ in told]), return_inverse=True)
+        c = np.bincount(at, weights=np.concatenate([y for _, y in told])).astype(np.int64)
+        out.append(pd.DataFrame({"doc_id": u, "n": -1, "digest": b"", "hits": c}))
+    return pd.concat(out) if out else pd.DataFrame({"doc_id": pd.Series([], dtype="int64"), "n": pd.Series([], dtype="int64"), "digest": pd.Series([], dtype=object), "hits": pd.Series([], dtype="int64")})
+
+
+def _exploded(percent: int):
+    """A function for mapInArrow: full sets -> (gram, doc_id, n), a row for each entry of the prefix."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, 256):
+            n = ids_of(b, "n").astype(np.int64)
+            most = prefix_size(n, percent, MORE)
+            grams = np.concatenate([np.frombuffer(x, np.int64, m) for x, m in zip(b.column(2).to_pylist(), most.tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(np.repeat(ids_of(b), most)), pa.array(np.repeat(n, most))], names=["gram", "doc_id", "n"])
 
-def bucket_hits(pdf: pd.DataFrame) -> pd.DataFrame:
-    """How many of a document's grams in this bucket are in other documents, too."""
-    g, d = _entries(pdf)
-    many = np.r_[False, g[1:] == g[:-1]]
-    many[:-1] |= many[1:].copy()
-    u, c = np.unique(d[many & (d >= 0)], return_counts=True)
-    return pd.DataFrame({"doc_id": u, "hits": c})
-
+    return run
 
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n, prefix) -> (gram, doc_id, n), a row for each entry."""
-    for b in sliced(batches, 256):
-        sets = [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
-        sizes = [len(s) for s in sets]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(np.repeat(ids_of(b), sizes)), pa.array(np.repeat(ids_of(b, "n"), sizes))], names=["gram", "doc_id", "n"])
 
+def block(percent: int, aside: bool):
+    """A function for applyInPandas: two chunks of a cluster (side 0 and 1) -> a spanning forest of their links.
 
-def probe(percent: int):
-    """A function for mapInArrow: pairs with their sets -> the linked ones. Binary search, exact in integers."""
+    T-occurrence search on the chunk's inverted lists: of a query's lists the longest are set aside, as many
+    as it may share without reaching the overlap; the short ones are merged, and the candidates that reach
+    what is left of the overlap are probed in the long ones by binary search. Documents that are connected
+    already are not probed again.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, 256):
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                s, t = (s, t) if len(s) <= len(t) else (t, s)
-                at = np.searchsorted(t, s)
-                both = int((t[np.minimum(at, len(t) - 1)] == s).sum())
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        same = right.empty  # a chunk with itself comes once
+        right = left if same else right
+        sets = [np.frombuffer(x, np.uint64) for x in right["grams"]]
+        ids, sizes = right["doc_id"].to_numpy(), np.array([len(x) for x in sets])
+        grams = np.concatenate(sets)
+        order = np.argsort(grams, kind="stable")
+        lists, start = np.unique(grams[order], return_index=True)
+        holders = np.repeat(np.arange(len(sets)), sizes)[order]
+        length = np.diff(np.r_[start, len(grams)])
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := root.get(x, x)) != x:
+                root[x] = root.get(y, y)
+                x = y
+            return x
+
+        a, b = [], []
+        for k, (me, blob) in enumerate(zip(left["doc_id"].tolist(), left["grams"], strict=True)):
+            mine = np.frombuffer(blob, np.uint64)
+            n = len(mine)
+            at = np.searchsorted(lists, mine)
+            at = at[(at < len(lists)) & (lists[np.minimum(at, len(lists) - 1)] == mine)]
+            least = needed(n, percent)
+            if len(at) < least:
+                continue
+            at = at[np.argsort(length[at], kind="stable")]
+            longest = min(least - 1, int(least / (0.5 * np.log2(1 + length[at[-1]]) + 1))) if aside else 0  # the longer they are, the fewer
+            short, rest = at[: len(at) - longest], np.sort(at[len(at) - longest :])
+            merged = np.concatenate([holders[start[i] : start[i] + length[i]] for i in short])
+            count = np.bincount(merged, minlength=len(sets))
+            # |both| >= percent (n + m) / (100 + percent); at most the long lists and the rest of each set are missing
+            wanted = -(-percent * (n + sizes) // (100 + percent))
+            for c in np.flatnonzero((count >= wanted - longest) & (count > 0)).tolist():
+                if (same and c <= k) or ids[c] == me or find(me) == find(int(ids[c])):
+                    continue
+                both = int(count[c])
+                if longest:
+                    probes = lists[rest]
+                    found = np.searchsorted(sets[c], probes)
+                    both += int((sets[c][np.minimum(found, sizes[c] - 1)] == probes).sum())
+                if 100 * both >= percent * (n + int(sizes[c]) - both):
+                    x, y = find(me), find(int(ids[c]))
+                    root[max(x, y)] = min(x, y)
+                    a.append(me)
+                    b.append(int(ids[c]))
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     return run
 
@@ -194,24 +267,20 @@ def jaccard_join(df: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     id are one node. An empty table gives an empty result.
     """
     docs = docs_of(df)
-    sets = cut(docs.mapInArrow(sets_of(k, percent, full=False), PREFIX))
+    words = (docs.agg(F.sum(F.length("text"))).head()[0] or 0) / 6  # about
+    buckets = max(1, int(-(-words * (100 - percent + EXTRA) // (100 * BUCKET_ENTRIES))))
+    parts = docs.mapInArrow(fold(k, percent, buckets), PART_TYPES)
+    told = cut(parts.groupBy("bucket").applyInPandas(bucket_rows, "doc_id long, n long, digest binary, hits long"))
+    sets = told.filter("n >= 0").select("doc_id", "n", "digest")
+
+    # One of each class, with enough grams in lists of two or more.
     classes = sets.filter("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("rep"))
-    entries = sets.agg(F.sum(F.length("prefix") / 8)).head()[0] or 0
-    buckets = max(1, int(-(-entries // BUCKET_ENTRIES)))
-
-    # Documents with enough grams in lists of two or more.
-    folded = cut(sets.filter("n > 0").select("doc_id", "prefix").mapInArrow(fold(buckets), BUCKETED_TYPES))
-    hits = folded.filter("bucket < 0").select("doc_id", "hits").union(folded.filter("bucket >= 0").groupBy("bucket").applyInPandas(bucket_hits, "doc_id long, hits long"))
-    hits = hits.groupBy("doc_id").agg(F.sum("hits").alias("hits"))
-    size = F.ceil(F.col("n") * percent / 100)
-    asked = F.greatest(F.lit(1), F.ceil(size * EXTRA / 100))
-    likely = sets.select("doc_id", "n").join(hits, "doc_id").filter(F.col("hits") >= asked).select("doc_id")
-    of_class = cut(classes.join(likely.distinct(), classes.rep == likely.doc_id, "left_semi").select(F.col("rep").alias("doc_id"), "n"))
-    found = few(of_class.select("doc_id").distinct())
-
-    search = cut(sets.join(found, "doc_id", "left_semi").select("doc_id", "n", "prefix").dropDuplicates(["doc_id", "n"]).mapInArrow(_exploded, "gram long, doc_id long, n long"))
-    full = cut(docs.join(found, "doc_id", "left_semi").mapInArrow(sets_of(k, percent, full=True), FULL))
-    links = links_between(search, full, percent)
+    hits = told.filter("n < 0").groupBy(F.col("doc_id").alias("rep")).agg(F.sum("hits").alias("hits"))
+    likely = classes.join(hits, "rep").filter(F.col("hits") >= at_least(percent, EXTRA))
+    found = few(cut(likely.select(F.col("rep").alias("doc_id")).distinct()))
+
+    full = cut(docs.join(found, "doc_id", "left_semi").mapInArrow(full_sets(k), FULL))
+    links = links_between(full.mapInArrow(_exploded(percent), "gram long, doc_id long, n long"), full, percent, at_least(percent, MORE))
 
     # Rows of equal sets link; so do rows that repeat an id.
     same = sets.filter("n > 0").join(classes, ["digest", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct()
@@ -219,57 +288,29 @@ def jaccard_join(df: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     return sets.select("doc_id", F.col("n").alias("n_shingles")).join(joined, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
-def links_between(search: DataFrame, full: DataFrame, percent: int, most_rounds: int = 4, set_aside: bool = True) -> DataFrame:
-    """Links (a, b) that connect all that is connected, from entries (gram, doc_id, n) and the full sets.
+def links_between(search: DataFrame, full: DataFrame, percent: int, least: Column | None = None) -> DataFrame:
+    """Links (a, b) that connect all that is connected, from entries (gram, doc_id, n) and the full sets (doc_id, n, grams).
 
-    set_aside: whether partners share enough entries that the longest lists needn't be merged.
+    Partners share least(n) entries or more (one, by default). Documents that share an entry, directly or
+    through others, form a cluster, found by one edge for each entry. A cluster is cut into chunks by
+    size, and each two chunks whose sizes may link are one small task: no pair is ever a row.
     """
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        left = full.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("grams").alias("sa"))
-        right = full.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("sb"))
-        met = pairs.join(left, "a").join(right, "b").filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-        return cut(met.select("a", "b", "sa", "sb").mapInArrow(probe(percent), "a long, b long"))
-
-    lists = search.groupBy("gram").agg(F.count("*").alias("df"), F.min("doc_id").alias("first")).filter("df > 1")
-    entries = search.join(lists, "gram")
-    aside = F.greatest(F.lit(1), F.ceil(F.ceil(F.col("n") * percent / 100) * EXTRA / 100)) - 1 if set_aside else F.lit(0)
-    rank = F.row_number().over(W.partitionBy("doc_id", "n").orderBy(F.desc("df"), "gram"))
-    index = cut(entries.withColumn("short", rank > aside).select("gram", "doc_id", "first", "short"))
-
-    star = index.filter("doc_id <> first").groupBy(F.col("doc_id").alias("a"), F.col("first").alias("b")).count()
-    tried = cut(star.groupBy("a").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b")))
-    links = verified(tried)
-    size = index.count()
-    for turn in range(most_rounds):
-        root = components(links)
-        named = index.join(root, index.doc_id == root.node, "left").select("gram", "doc_id", "short", F.coalesce("root", "doc_id").alias("part"))
-        parts = named.groupBy("gram", "part").agg(F.count("*").alias("size"), F.count_if("short").alias("shorts"), F.min_by("doc_id", F.xxhash64("doc_id", F.lit(turn))).alias("one"))
-        split = parts.groupBy("gram").agg(F.countDistinct("part").alias("parts")).filter("parts > 1").select("gram")
-        parts = cut(parts.join(split, "gram", "left_semi"))
-        p, q = parts.filter("shorts > 0").alias("p"), parts.alias("q")
-        # from the smaller part's side
-        cross = p.join(q, "gram").filter("(p.size < q.size) or (p.size = q.size and p.part < q.part)").select("gram", F.col("p.part").alias("part"), F.col("q.part").alias("other"), "p.shorts", F.col("q.size").alias("others"), "q.one")
-        planned = cross.agg(F.sum(F.col("shorts") * F.col("others"))).head()[0] or 0
-        if not planned:
-            return links
-        asks = named.filter("short").join(cross, ["gram", "part"]).select(F.col("doc_id").alias("a"), "gram", "other", "one")
-        last = turn == most_rounds - 1 or planned <= 20 * size
-        if last:
-            met = asks.join(named.select("gram", F.col("part").alias("other"), F.col("doc_id").alias("b")), ["gram", "other"])
-            pairs = met.select("a", "b").distinct()
-        else:  # one of each other part first: it may join the two
-            met = asks.groupBy("a", "other", "one").count()
-            pairs = met.groupBy("a", "other").agg(F.max_by("one", F.struct("count", -F.col("one"))).alias("b")).select("a", "b")
-        fresh = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        if not last:
-            fresh = cut(fresh)
-            tried = cut(tried.union(fresh))
-        more = verified(fresh)
-        links = cut(links.union(more))
-        if last:
-            return links
-    return links
+    lists, own = W.partitionBy("gram"), W.partitionBy("doc_id", "n")
+    index = search.withColumns({"df": F.count("*").over(lists)}).filter("df > 1").drop("df")
+    if least is not None:  # too few shared entries for any partner: these go, and what they shared is counted anew
+        index = index.withColumn("have", F.count("*").over(own)).filter(F.col("have") >= least).drop("have")
+    edges = index.withColumn("first", F.min("doc_id").over(lists)).filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
+    roots = components(edges)
+    clusters = cut(roots.union(roots.select("root", "root").distinct()).toDF("doc_id", "cluster"))
+    sized = full.join(few(clusters), "doc_id").select("cluster", "doc_id", "n", "grams")
+    # places by size within a cluster, from narrow rows; then chunks and the partners that they may have
+    placed = full.select("doc_id", "n").join(few(clusters), "doc_id").withColumn("chunk", F.floor((F.row_number().over(W.partitionBy("cluster").orderBy("n", "doc_id")) - 1) / CHUNK).cast("int"))
+    chunks = cut(placed.groupBy("cluster", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high")))
+    x, y = chunks.alias("x"), chunks.alias("y")
+    pairs = cut(x.join(y, "cluster").filter(f"x.chunk <= y.chunk and 100 * x.high >= {percent} * y.low").select("cluster", F.col("x.chunk").alias("i"), F.col("y.chunk").alias("j")))
+    sides = pairs.select("cluster", "i", "j", F.lit(0).alias("side"), F.col("i").alias("chunk")).union(pairs.filter("i < j").select("cluster", "i", "j", F.lit(1), "j"))
+    dealt = sized.join(placed.select("doc_id", "chunk"), "doc_id").join(few(sides), ["cluster", "chunk"]).select("cluster", "i", "j", "side", "doc_id", "grams")
+    return cut(dealt.groupBy("cluster", "i", "j").applyInPandas(block(percent, least is not None), "a long, b long"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

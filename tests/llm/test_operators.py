@@ -218,15 +218,6 @@ def test_jaccard_join_edges(spark, edge):
     assert jaccard_join.jaccard_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_bitmaps_bound_differences():
-    rng = np.random.default_rng(1)
-    for _ in range(50):
-        a, b = (np.unique(rng.integers(0, 2**60, 300).astype(np.uint64)) for _ in range(2))
-        b = np.unique(np.r_[a[: rng.integers(0, len(a))], b[:20]])
-        x, y = (np.frombuffer(jaccard_join.bitmap(s), np.uint8) for s in (a, b))
-        assert int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(a, b))
-
-
 def test_components(spark):
     rng = random.Random(3)
     links = [(i, i + 1) for i in range(0, 90)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(500, 500)]
