@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from evalloom.llm.common import WordHashes, bytes_of, cut, docs_of, ids_of, rolled, sliced, tables
+from evalloom.llm.common import WordHashes, bytes_of, cut, docs_of, ids_of, mix64, rolled, sliced, tables
 from evalloom.llm.components import components
 
 #: Documents whose lists are folded within a task before the shuffle.
@@ -149,33 +149,53 @@ def fold(k: int, percent: int, buckets: int):
     return run
 
 
-def bucket_rows(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The documents of a bucket with size and digest, and how many grams documents share with others."""
-    of = {kind: part for kind, part in pdf.groupby("kind")}
-    out = []
-    if "docs" in of:
-        p = of["docs"]
-        digests = b"".join(p["grams"])
-        ids = np.frombuffer(b"".join(p["docs"]), np.int64)
-        out.append(pd.DataFrame({"doc_id": ids, "n": np.frombuffer(b"".join(p["runs"]), np.int64), "digest": [digests[i : i + 16] for i in range(0, len(digests), 16)], "hits": 0}))
-    told = []
-    if "hits" in of:
-        told.append((np.frombuffer(b"".join(of["hits"]["docs"]), np.int64), np.frombuffer(b"".join(of["hits"]["runs"]), np.int64)))
-    if "entries" in of:
-        p = of["entries"]
-        g = np.frombuffer(b"".join(p["grams"]), np.uint64)
-        d = np.repeat(np.frombuffer(b"".join(p["docs"]), np.int64), np.frombuffer(b"".join(p["runs"]), np.uint32))
-        order = np.argsort(g, kind="stable")
-        g, d = g[order], d[order]
-        many = np.r_[False, g[1:] == g[:-1]]
-        many[:-1] |= many[1:].copy()
-        hit = d[many & (d >= 0)]
-        told.append((hit, np.ones(len(hit), np.int64)))
-    if told:
-        u, at = np.unique(np.concatenate([x for x, _ in told]), return_inverse=True)
-        c = np.bincount(at, weights=np.concatenate([y for _, y in told])).astype(np.int64)
-        out.append(pd.DataFrame({"doc_id": u, "n": -1, "digest": b"", "hits": c}))
-    return pd.concat(out) if out else pd.DataFrame({"doc_id": pd.Series([], dtype="int64"), "n": pd.Series([], dtype="int64"), "digest": pd.Series([], dtype=object), "hits": pd.Series([], dtype="int64")})
+COUNTED = "part int, kind string, docs binary, numbers binary, digests binary"
+
+
+def bucket_hits(buckets: int):
+    """A function for applyInPandas: a bucket -> how many grams documents share with others, by part of the documents.
+
+    What documents have in all buckets meets in their part; packed, so that rows don't grow with the buckets.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [(i % buckets, "docs", d, n, g) for i, (k, d, n, g) in enumerate(zip(pdf["kind"], pdf["docs"], pdf["runs"], pdf["grams"], strict=True), int(pdf["bucket"].iloc[0])) if k == "docs"]
+        told = [(np.frombuffer(d, np.int64), np.frombuffer(n, np.int64)) for k, d, n in zip(pdf["kind"], pdf["docs"], pdf["runs"], strict=True) if k == "hits"]
+        p = pdf[pdf["kind"] == "entries"]
+        if len(p):
+            g = np.frombuffer(b"".join(p["grams"]), np.uint64)
+            d = np.repeat(np.frombuffer(b"".join(p["docs"]), np.int64), np.frombuffer(b"".join(p["runs"]), np.uint32))
+            order = np.argsort(g, kind="stable")
+            g, d = g[order], d[order]
+            many = np.r_[False, g[1:] == g[:-1]]
+            many[:-1] |= many[1:].copy()
+            hit = d[many & (d >= 0)]
+            told.append((hit, np.ones(len(hit), np.int64)))
+        if told:
+            u, c = summed(told)
+            part = (mix64(u.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            u, c, part = u[order], c[order], part[order]
+            cuts = np.searchsorted(part, np.arange(buckets + 1))
+            out += [(int(i), "hits", u[cuts[i] : cuts[i + 1]].tobytes(), c[cuts[i] : cuts[i + 1]].tobytes(), b"") for i in np.flatnonzero(np.diff(cuts))]
+        return pd.DataFrame(out, columns=["part", "kind", "docs", "numbers", "digests"])
+
+    return run
+
+
+def summed(told: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    u, at = np.unique(np.concatenate([x for x, _ in told]), return_inverse=True)
+    return u, np.bincount(at, weights=np.concatenate([y for _, y in told]), minlength=len(u)).astype(np.int64)
+
+
+def part_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(doc_id, n, digest, hits): documents with size and digest, and (n = -1) the hits of documents, a row each."""
+    p, h = pdf[pdf["kind"] == "docs"], pdf[pdf["kind"] == "hits"]
+    digests = b"".join(p["digests"])
+    ids, n = (np.frombuffer(b"".join(p[c]), np.int64) for c in ("docs", "numbers"))
+    u, c = summed([(np.frombuffer(d, np.int64), np.frombuffer(x, np.int64)) for d, x in zip(h["docs"], h["numbers"], strict=True)]) if len(h) else (ids[:0], ids[:0])
+    marks = [digests[i : i + 16] for i in range(0, len(digests), 16)] + [b""] * len(u)
+    return pd.DataFrame({"doc_id": np.r_[ids, u], "n": np.r_[n, np.full(len(u), -1)], "digest": pd.Series(marks, dtype=object), "hits": np.r_[np.zeros(len(ids), np.int64), c]})
 
 
 def _exploded(percent: int):
@@ -270,7 +290,7 @@ def jaccard_join(df: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     words = (docs.agg(F.sum(F.length("text"))).head()[0] or 0) / 6  # about
     buckets = max(1, int(-(-words * (100 - percent + EXTRA) // (100 * BUCKET_ENTRIES))))
     parts = docs.mapInArrow(fold(k, percent, buckets), PART_TYPES)
-    told = cut(parts.groupBy("bucket").applyInPandas(bucket_rows, "doc_id long, n long, digest binary, hits long"))
+    told = cut(parts.groupBy("bucket").applyInPandas(bucket_hits(buckets), COUNTED).groupBy("part").applyInPandas(part_rows, "doc_id long, n long, digest binary, hits long"))
     sets = told.filter("n >= 0").select("doc_id", "n", "digest")
 
     # One of each class, with enough grams in lists of two or more.
