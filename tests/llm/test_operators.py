@@ -290,6 +290,37 @@ def test_passages(corpus):
     assert all(left[i] == text[i] for i in clean)
 
 
+@pytest.mark.parametrize("kind", ["sentences", "no marks", "few words"])
+@pytest.mark.parametrize("n", [50, 51, 60])
+def test_paragraphs_are_shared_wherever_a_passage_stands(kind, n):
+    rng = random.Random(n)
+    pool = words(rng, 4 if kind == "few words" else 5000).split()
+    cutter = substring_dedup.Paragraphs(substring_dedup.MIN_WORDS, 5, 4, 2)
+
+    def text(size):
+        return [rng.choice(pool) + ("." if kind == "sentences" and rng.random() < 0.1 else "") for _ in range(size)]
+
+    for _ in range(500):
+        passage, found = text(n), []
+        for _ in range(2):
+            before = text(rng.randrange(40))
+            ((h, ends),) = cutter.hashed([" ".join([*before, *passage, *text(rng.randrange(40))]).encode()])
+            lo, hi = cutter.spans(h, ends)
+            found.append({(a - len(before), b - len(before)) for a, b in zip(lo.tolist(), hi.tolist()) if len(before) <= a and b <= len(before) + n})
+        assert found[0] & found[1]
+
+
+def test_unaligned_passages(spark):
+    """51 shared words, without marks, from the middle of one text to the middle of another."""
+    rng = random.Random(51)
+    rows = []
+    for i in range(0, 200, 2):
+        passage = words(rng, 51)
+        rows += [(j, f"{words(rng, rng.randint(0, 40))} {passage} {words(rng, rng.randint(0, 40))}") for j in (i, i + 1)]
+    got = {(r.doc_id, r.cluster_doc_id) for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(i, i - i % 2) for i in range(200)}
+
+
 def test_passages_edges(spark, edge):
     assert substring_dedup.repeated_passages(edge).count() == 0
     assert substring_dedup.repeated_passages(edge.limit(0)).count() == 0
