@@ -3,8 +3,8 @@
 Documents with equal sets are one class; only its smallest id is searched. With a threshold t, a partner of
 a set of n grams shares at least T = ceil(t n) of them. In any order that all sets use (here: by hash), two
 partners share at least l grams within their first n - T + l ones; these alone are indexed, and each gram's
-inverted list holds the documents that have it there. A document is dropped when fewer than l of its grams
-are in lists of two or more.
+inverted list holds the documents that have it there. A document is dropped when fewer of its grams are in lists
+of two or more than the l of its smallest partner (of T grams).
 
 Documents that are left and share entries make up clusters. Within a cluster the search proper runs, chunk by
 chunk: a query's longest lists are set aside, its short lists are merged with counts, and each candidate that
@@ -52,8 +52,11 @@ def extra(n, share: int):
 
 
 def at_least(percent: int, share: int) -> Column:
-    """Entries that a set of n shares with any partner, of those that a prefix with this share of extra ones has."""
-    return F.greatest(F.lit(1), F.ceil(F.col("n") * min(percent, share) / 100))
+    """Entries that a set of n shares with any partner, of those that a prefix with this share of extra ones has.
+
+    Two prefixes share no more than the smaller set's extra ones; the smallest partner has needed(n) grams.
+    """
+    return F.greatest(F.lit(1), F.ceil(F.ceil(F.col("n") * percent / 100) * share / 100))
 
 
 def gram_set(hashes: np.ndarray, k: int) -> np.ndarray:

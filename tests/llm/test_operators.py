@@ -211,6 +211,34 @@ def test_jaccard_join_follows_chains(spark):
     assert got == want and len(set(want.values())) < 40
 
 
+@pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80)])
+def test_jaccard_join_of_short_texts(spark, k, percent):
+    """Texts of 4 to 15 words and their beginnings and ends, a word or two shorter, with no other text near."""
+    rng = random.Random(15)
+    texts = []
+    for n in range(4, 16):
+        for less in (1, 2):
+            for _ in range(12):
+                w = words(rng, n).split()
+                texts += [" ".join(w), " ".join(w[:-less] if rng.random() < 0.5 else w[less:])]
+    sets = {i: shingles(t, k) for i, t in enumerate(texts)}
+    want = roots(sets, [(a, b) for a, b in combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])])
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), k, percent).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 90])
+@pytest.mark.parametrize("share", [jaccard_join.EXTRA, jaccard_join.MORE])
+def test_prefixes_share_what_the_filter_asks_for(spark, percent, share):
+    """The filter of a set of n asks for no more than its prefix and any partner's must have in common."""
+    asked = [r[0] for r in spark.range(1, 400).toDF("n").orderBy("n").select(jaccard_join.at_least(percent, share)).collect()]
+    for n, least in enumerate(asked, 1):
+        for m in range(jaccard_join.needed(n, percent), min(100 * n // percent, 699) + 1):
+            both = -(-percent * (n + m) // (100 + percent))
+            seen = [both - max(0, x - int(jaccard_join.prefix_size(np.int64(x), percent, share))) for x in (n, m)]
+            assert both > min(n, m) or least <= min(seen)
+
+
 def test_jaccard_join_edges(spark, edge):
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(edge).collect())
     assert got[:6] == [(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (4, 1, 4), (5, 1, 4)]
