@@ -349,6 +349,20 @@ def test_unaligned_passages(spark):
     assert got == {(i, i - i % 2) for i in range(200)}
 
 
+@pytest.mark.parametrize("mark", [".", ""])
+def test_each_passage_is_kept_once(spark, mark):
+    """P1 stands in 5 and 9, P2 in 3 and 5, side by side; P3 in 6, 7 and 8, and in 7 and 8 with more words."""
+    rng = random.Random(9)
+    p1, p2, p3, more, *rest = (words(rng, 60) + mark for _ in range(14))
+    texts = {3: [rest[0], p2, rest[1]], 5: [rest[2], p1, p2, rest[3]], 9: [rest[4], p1, rest[5]], 6: [rest[6], p3], 7: [p3, more, rest[7]], 8: [rest[8], p3, more]}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    found = substring_dedup.repeated_passages(df).cache()
+    assert {(r.doc_id, r.cluster_doc_id, r.kept) for r in found.collect()} == {(3, 3, True), (5, 3, False), (5, 5, True), (9, 5, False), (6, 6, True), (7, 6, False), (7, 7, True), (8, 6, False), (8, 7, False)}
+    left = {r.doc_id: r.text for r in substring_dedup.without_passages(df, found).collect()}
+    assert p1 in left[5] and p1 not in left[9] and p2 in left[3] and p2 not in left[5] and p3 in left[6] and p3 not in left[8]
+    assert more in left[7] and more not in left[8]
+
+
 def test_passages_edges(spark, edge):
     assert substring_dedup.repeated_passages(edge).count() == 0
     assert substring_dedup.repeated_passages(edge.limit(0)).count() == 0
