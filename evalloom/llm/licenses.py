@@ -8,9 +8,11 @@ index from bigrams to templates leaves only those that share one.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -88,10 +90,46 @@ class Scanner:
                 yield "text", 0, k, d
 
 
-def scan_licenses(df: DataFrame, templates: dict[str, str] | None = None, dice: float = DICE) -> DataFrame:
+    def windows(self, text: bytes) -> Iterator[tuple[str, int, str, float]]:
+        """("window", its first word, licence, dice): runs of words anywhere in the text, the best of those that overlap.
+
+        The best window begins and ends with a bigram of the template; all such within the size bounds are tried,
+        where enough of the template's bigrams lie close enough together.
+        """
+        w = words(text)
+        grams = list(zip(w, w[1:]))
+        at: dict[str, list[int]] = {}
+        for i, g in enumerate(grams):
+            for k in self._of.get(g, ()):
+                at.setdefault(k, []).append(i)
+        for k, places in sorted(at.items()):
+            m, most, found = self._size[k], self._size[k] * (2 - self._dice) / self._dice, []
+            need = max(1, math.ceil(self._dice * m / (2 - self._dice) - 1e-9))
+            for a, i in enumerate(places):
+                if a + need > len(places) or places[a + need - 1] - i + 1 > most:
+                    continue
+                left, both = dict(self._grams[k]), 0
+                for j in places[a:]:
+                    if j - i + 1 > most:
+                        break
+                    if left[grams[j]]:
+                        left[grams[j]] -= 1
+                        both += 1
+                        got = 2 * both / (m + j - i + 1)
+                        if got >= self._dice:
+                            found.append((-got, i, j))
+            taken: list[tuple[int, int]] = []
+            for got, i, j in sorted(found):
+                if all(j < x or i > y for x, y in taken):
+                    taken.append((i, j))
+                    yield "window", i, k, -got
+
+
+def scan_licenses(df: DataFrame, templates: dict[str, str] | None = None, dice: float = DICE, windows: bool = False) -> DataFrame:
     """One row per unit and template that reach dice: doc_id, unit, unit_no, license_id, dice (6 decimals).
 
-    unit: line, block (texts with blank lines) or text (texts of several lines). A null or empty text has no
+    unit: line, block (texts with blank lines) or text (texts of several lines); with windows also window, a run of
+    words anywhere in the text, whose number is that of its first word. A null or empty text has no
     row; a unit of one word has no bigram and no row. All templates that reach dice are told, ties included.
     Rows without an id are left out; rows that repeat an id each have their rows.
     """
@@ -100,7 +138,7 @@ def scan_licenses(df: DataFrame, templates: dict[str, str] | None = None, dice:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             texts = b.column(1).cast(pa.binary()).to_pylist()
-            rows = [(i, *hit) for i, t in zip(ids_of(b).tolist(), texts, strict=True) for hit in scanner.scan(t)]
+            rows = [(i, *hit) for i, t in zip(ids_of(b).tolist(), texts, strict=True) for hit in chain(scanner.scan(t), scanner.windows(t) if windows else ())]
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.float64())
             cols = [pa.array([round(r[4], 6) if j == 4 else r[j] for r in rows], kind) for j, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "unit", "unit_no", "license_id", "dice"])
@@ -112,6 +150,11 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(tables(spark, sf_dir, "documents"))
 
 
+def op8_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of op8_licenses, and notices inside longer units."""
+    return scan_licenses(tables(spark, sf_dir, "documents"), windows=True)
+
+
 OP8_SQL = f"""
 WITH templates(license_id, template) AS (VALUES {", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in TEMPLATES.items())}),
 docs AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines, regexp_split_to_array(coalesce(text, ''), '\\n[ \\t\\r\\x0b\\x0c]*\\n') AS blocks FROM documents WHERE doc_id IS NOT NULL),

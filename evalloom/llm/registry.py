@@ -13,6 +13,7 @@ QUERIES = {
     "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_licenses": licenses.op8_licenses,
+    "op8_license_windows": licenses.op8_license_windows,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_language": language.op10_language,
 }

@@ -391,6 +391,18 @@ def test_licenses(spark, edge):
     assert licenses.scan_licenses(edge.limit(0)).count() == 0
 
 
+def test_license_windows(spark):
+    t = licenses.TEMPLATES
+    w = t["mit-notice"].split()
+    comment = "/*\n * Copyright 2020 Foo Bar\n *\n" + "".join(f" * {' '.join(w[i : i + 9])}\n" for i in range(0, len(w), 9)) + " *\n" + " * No warranty of any kind is given for this code or for any part of it.\n" * 3 + " */\nint main(void);"
+    rows = [(1, comment), (2, "Copyright 2020 Foo Bar. Released under the MIT License."), (3, f"This is free. {t['gpl-3.0']} Thanks to all who helped."), (4, "a licence under the terms of the trade"), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = licenses.scan_licenses(df, windows=True).collect()
+    assert {(r.doc_id, r.unit_no, r.license_id, r.dice) for r in got if r.unit == "window"} == {(1, 4, "mit-notice", 1), (2, 4, "mit", 1), (3, 3, "gpl-3.0", 1)}
+    plain = licenses.scan_licenses(df).collect()
+    assert not plain and sorted(r for r in got if r.unit != "window") == plain
+
+
 # --- learned operators
 
 
