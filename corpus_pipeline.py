@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm.common import shared_path, tables
+from evalloom.llm.common import few, shared_path, tables
 from evalloom.llm.exact_dedup import exact_dedup
-from evalloom.llm.jaccard_join import few, jaccard_join
+from evalloom.llm.jaccard_join import jaccard_join
 from evalloom.llm.mixing import mix, quality_domains
 from evalloom.llm.packing import pack
 from evalloom.llm.token_ids import public_vocabulary

@@ -7,25 +7,30 @@ result and is left out of it.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that one step of a Python worker handles at once, whatever Arrow's batches hold.
 SLICE_ROWS = 512
+#: So many rows of a few numbers, or so many bytes, may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir; where it is unset, one of our own, on a single machine only."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir")
     if path is None:
         found = sc._jsc.sc().getCheckpointDir()
+        if found.isEmpty() and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = found.get() if found.isDefined() else f"file://{tempfile.mkdtemp(prefix='evalloom-')}"
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(path)
@@ -33,11 +38,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder; Spark removes the files with the last reference."""
+    """df computed once and kept in the shared folder.
+
+    Spark removes the files with the last reference if spark.cleaner.referenceTracking.cleanCheckpoints is set, as
+    evalloom.session does; else they stay until the folder is emptied.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def few(df: DataFrame) -> DataFrame:
+    """df, of a few numbers a row, to be broadcast if its rows are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def few_bytes(df: DataFrame, size: Column) -> DataFrame:
+    """df, to be broadcast if its rows' sizes add up to little."""
+    return F.broadcast(df) if (df.agg(F.sum(size)).head()[0] or 0) <= BROADCAST_BYTES else df
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -25,15 +25,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from evalloom.llm.common import WordHashes, bytes_of, cut, docs_of, ids_of, mix64, rolled, sliced, tables
+from evalloom.llm.common import WordHashes, bytes_of, cut, docs_of, few, ids_of, mix64, rolled, sliced, tables
 from evalloom.llm.components import components
 
 #: Documents whose lists are folded within a task before the shuffle.
 FOLD_DOCS = 4_096
 #: Entries of inverted lists in one bucket, about.
 BUCKET_ENTRIES = 500_000
-#: Ids of this many documents (16 MB) may be broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 200_000
 #: Share of a set that its prefix is longer than it needs to be, in percent.
 EXTRA = 20
 #: The same for the documents that are left after the first look.
@@ -276,11 +274,6 @@ def block(percent: int, aside: bool):
     return run
 
 
-def few(ids: DataFrame) -> DataFrame:
-    """ids, to be broadcast if they are few."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-
-
 def jaccard_join(df: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """One row per row of df: doc_id, n_shingles, component_id.
 

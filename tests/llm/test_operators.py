@@ -332,9 +332,8 @@ def test_paragraphs_are_shared_wherever_a_passage_stands(kind, n):
         passage, found = text(n), []
         for _ in range(2):
             before = text(rng.randrange(40))
-            ((h, ends),) = cutter.hashed([" ".join([*before, *passage, *text(rng.randrange(40))]).encode()])
-            lo, hi = cutter.spans(h, ends)
-            found.append({(a - len(before), b - len(before)) for a, b in zip(lo.tolist(), hi.tolist()) if len(before) <= a and b <= len(before) + n})
+            _, at, _, _ = cutter.cut([" ".join([*before, *passage, *text(rng.randrange(40))]).encode()])
+            found.append({i - len(before) for i in at.tolist() if len(before) <= i and i + substring_dedup.MIN_WORDS <= len(before) + n})
         assert found[0] & found[1]
 
 
@@ -349,6 +348,61 @@ def test_unaligned_passages(spark):
     assert got == {(i, i - i % 2) for i in range(200)}
 
 
+def test_passages_against_brute_force(spark):
+    """All pairs of paragraphs by exact Jaccard: near paragraphs differ by a word at their ends, others in the middle."""
+    rng = random.Random(77)
+    base = [words(rng, 80).split() for _ in range(6)]
+    rows = []
+    for i in range(120):
+        w = list(base[i % 6])
+        for _ in range(i % 4):
+            w[rng.randrange(80)] = words(rng, 1)
+        rows.append((i, " ".join([*words(rng, rng.randrange(30)).split(), *w, *words(rng, rng.randrange(30)).split()])))
+    cutter = substring_dedup.Paragraphs(24, 5, *substring_dedup.tuned(0.8, 0.98))
+    text, at, grams, _ = cutter.cut([t.encode() for _, t in rows])
+    sets = [frozenset(g.tolist()) for g in grams]
+    links = [(a, b) for a, b in combinations(range(len(at)), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    root = roots(range(len(at)), links)
+    of = defaultdict(set)
+    for p, r in root.items():
+        of[r].add(int(text[p]))
+    want = {(int(text[p]), w, min(of[r])) for p, r in root.items() if len(of[r]) > 1 for w in range(at[p], at[p] + 24)}
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    got = {(r.doc_id, w, r.cluster_doc_id) for r in found for w in range(r.first_word, r.first_word + r.n_words)}
+    assert len({(p, q) for p, q in links if sets[p] != sets[q]}) > 100
+    assert len({x[:2] for x in want} & {x[:2] for x in got}) >= 0.98 * len({x[:2] for x in want}) and len(want & got) >= 0.95 * len(want)
+    assert {x[:2] for x in got} <= {x[:2] for x in want}
+
+
+def test_passages_of_rows_that_repeat_an_id(spark):
+    rng = random.Random(31)
+    p, a, b, c = (words(rng, n) for n in (60, 7, 40, 50))
+    rows = [(1, f"{a} {p}"), (2, f"{b} {p}"), (2, f"{c} {p} {a}"), (3, f"{b} {c}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"text_id": F.lit(1), "gone": F.lit(2), "row": F.lit(3)})
+    found = substring_dedup.repeated_passages(df).cache()
+    assert {(r.doc_id, r.cluster_doc_id) for r in found.collect()} >= {(1, 1), (2, 1)}
+    left = substring_dedup.without_passages(df, found)
+    assert left.columns == df.columns
+    texts = [r.text for r in left.orderBy("doc_id").collect()]
+    assert p in texts[0] and all(set(x.split()) <= set(t.split()) for x, t in ((b, texts[1]), (c, texts[2]))) or all(p not in t for t in texts[1:])
+
+
+def test_very_many_paragraphs_of_one_band(spark):
+    """Chunks of a band: what is unlike its first class still meets all others."""
+    rng = random.Random(12)
+    old, substring_dedup.CHUNK = substring_dedup.CHUNK, 4
+    try:
+        sets = [frozenset(rng.sample(range(24), 20)) for _ in range(40)]
+        shared = spark.createDataFrame([(b, i) for i in range(40) for b in (7, 8 + i % 2)], "band long, of long")
+        inside = spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(sets)], "of long, grams array<long>")
+        got = {(r.a, r.b) for r in substring_dedup.links_of(shared, inside, 80).collect()}
+    finally:
+        substring_dedup.CHUNK = old
+    want = [(a, b) for a, b in combinations(range(40), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert {tuple(sorted(x)) for x in got} <= set(want)
+    assert roots(range(40), got) == roots(range(40), want) and len(want) > 40
+
+
 @pytest.mark.parametrize("mark", [".", ""])
 def test_each_passage_is_kept_once(spark, mark):
     """P1 stands in 5 and 9, P2 in 3 and 5, side by side; P3 in 6, 7 and 8, and in 7 and 8 with more words."""
