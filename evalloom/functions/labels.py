@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,11 +72,18 @@ def ordinal_median(values: Column) -> Column:
     """Median on the half-step scale: between two middles their mean if it is a half step, else the upper."""
     s = F.array_sort(values)
     n = F.size(values)
-    upper = F.get(s, F.floor(n / 2).cast("int"))
-    lower = F.get(s, F.floor(n / 2).cast("int") - 1)
+    half = F.floor(n / 2).cast("int")
+    return F.when(n == 0, F.lit(None)).otherwise(_middle(n, F.get(s, half - 1), F.get(s, half)))
+
+
+def _middle(n: Column, lower: Column, upper: Column) -> Column:
     mid = (lower + upper) / 2
-    even = F.when(lower == upper, lower).when(mid.isin(1.5, 2.5, 3.5), mid).otherwise(upper)
-    return F.when(n == 0, F.lit(None)).when(n % 2 == 1, upper).otherwise(even)
+    return F.when((n % 2 == 1) | (lower == upper), upper).when(mid.isin(1.5, 2.5, 3.5), mid).otherwise(upper)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def level_label(level: Column) -> Column:
@@ -124,8 +133,20 @@ def consensus_change(votes: Column, prediction: Column, gold: Column) -> Column:
     votes: ordinals with nulls for slots left open. Null without a clear prediction, a gold label or a vote.
     """
     p, g = ordinal(F.when(is_label(prediction), prediction)), ordinal(gold)
-    given = F.filter(F.transform(votes, lambda v, i: F.struct(v.alias("v"), i.alias("i"))), lambda s: s["v"].isNotNull())
-    deltas = F.transform(given, lambda s: F.abs(ordinal_median(F.filter(F.transform(votes, lambda v, i: F.when(i == s["i"], p).otherwise(v)), lambda v: v.isNotNull())) - g))
+
+    def deltas_of(s: Column) -> Column:
+        """s: the given votes in order. The k-th of all but the i-th and p is p held between the neighbours it falls between."""
+        n = F.size(s)
+        half = F.floor(n / 2).cast("int")
+
+        def at(i: Column, k: Column) -> Column:
+            other = lambda j: F.get(s, F.when(j < i, j).otherwise(j + 1))
+            return F.least(F.greatest(p, F.when(k > 0, other(k - 1))), other(k))
+
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.abs(_middle(n, at(i, half - 1), at(i, half)) - g))
+
+    given = F.array_sort(F.filter(votes, lambda v: v.isNotNull()))
+    deltas = F.when(p.isNotNull() & (F.size(given) > 0), _let(given, deltas_of)).otherwise(F.array().cast("array<double>"))
     n = F.size(deltas)
     moved = F.size(F.filter(deltas, lambda d: d > 0)) / n
     mean = F.aggregate(deltas, F.lit(0.0), lambda acc, d: acc + d) / n

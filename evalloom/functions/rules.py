@@ -2,7 +2,7 @@
 
 object_text: scanning for the first parsable object needs a JSON parser that can stop anywhere.
 sequence_ratio: its scores are defined by the matching-blocks algorithm of Python's difflib.
-nfkc: Spark has no Unicode compatibility normalisation.
+tidy: Spark has no Unicode compatibility normalisation; all else of it is native.
 asserted: negation scopes need match offsets, which Spark's expressions don't give.
 """
 
@@ -11,13 +11,18 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Callable
+from bisect import bisect_right
+from collections.abc import Callable, Iterable
 from difflib import SequenceMatcher
+from functools import cache
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType
 
+from evalloom.functions.text import strip
+
 
 def first_object(text: str | None) -> str | None:
     """The first JSON object in a text, fences and other words around it aside, as canonical JSON."""
@@ -67,17 +72,18 @@ def sequence_ratio_from(least: float) -> Callable:
     return bounded
 
 
-def tidy(text: str | None) -> str | None:
-    """NFKC, line ends as newlines, blanks and blank lines squeezed."""
-    if text is None:
-        return None
-    t = unicodedata.normalize("NFKC", text.replace("\x00", "")).replace("\r\n", "\n").replace("\r", "\n")
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", t)).strip()
+@F.pandas_udf(StringType())
+def _nfkc(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf(StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    return s.map(tidy)
+def tidy(text: Column) -> Column:
+    """NFKC, line ends as newlines, blanks and blank lines squeezed; only what isn't ASCII passes through Python."""
+    text = F.replace(text, F.lit("\x00"), F.lit(""))
+    plain = F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(_nfkc(F.when(~text.rlike(r"^\p{ASCII}*$"), text)))
+    for pattern, by in ((r"\r\n?", "\n"), (r"[ \t]+", " "), (r"\n{3,}", "\n\n")):
+        plain = F.regexp_replace(plain, pattern, by)
+    return strip(plain)
 
 
 # What denies, doubts or merely mentions a finding, and how far around it that is looked for.
@@ -89,16 +95,27 @@ SCOPE_END = r"\b(?:but|however|yet|although)\b|[.!?;]"
 BEFORE, AFTER, AROUND = 90, 50, (100, 40)
 
 
-def is_asserted(fragment: str | None, patterns: list[str]) -> bool:
-    """Does a pattern match where nothing denies, doubts or only mentions it?"""
-    flags = re.IGNORECASE
-    for m in (m for p in patterns for m in re.finditer(p, fragment or "", flags)):
-        scope = re.split(SCOPE_END, fragment[max(0, m.start() - BEFORE) : m.start()], flags=flags)[-1]
-        near = fragment[max(0, m.start() - AROUND[0]) : m.end() + AROUND[1]]
-        against = (re.search(DENIAL, scope, flags), re.match(DENIAL_AFTER, fragment[m.end() : m.end() + AFTER], flags), re.search(DOUBT, near, flags), re.search(MENTION, scope, flags))
-        if not any(against):
-            return True
-    return False
+@cache
+def _compiled(pattern: str) -> re.Pattern:
+    return re.compile(pattern, re.IGNORECASE)
+
+
+def stance(text: str, bounds: list[int], start: int, end: int) -> str:
+    """What is said of text[start:end]: asserted, denied, doubted or mentioned. bounds: where clauses begin, in order."""
+    lead = text[max(bounds[bisect_right(bounds, start) - 1], start - BEFORE) : start]
+    if _compiled(DENIAL).search(lead) or _compiled(DENIAL_AFTER).match(text[end : end + AFTER]):
+        return "denied"
+    if _compiled(MENTION).search(lead):
+        return "mentioned"
+    return "doubted" if _compiled(DOUBT).search(text[max(0, start - AROUND[0]) : end + AROUND[1]]) else "asserted"
+
+
+def is_asserted(fragment: str | None, patterns: Iterable[str]) -> bool:
+    """Does a pattern match where nothing denies, doubts or only mentions it? Clauses are found once for all matches."""
+    text = fragment or ""
+    spans = {m.span() for p in patterns for m in _compiled(p).finditer(text)}
+    bounds = [0, *(m.end() for m in _compiled(SCOPE_END).finditer(text))] if spans else [0]
+    return any(stance(text, bounds, *s) == "asserted" for s in spans)
 
 
 def asserted(patterns: list[str]) -> Callable:

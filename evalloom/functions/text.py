@@ -148,3 +148,39 @@ def first_with_prefix(tags: Column, prefix: str) -> Column:
 def label_basis(method: Column, dataset: Column, special: str = "healthbench") -> Column:
     """How a label came about."""
     return F.when(method == "median", "released_five_physician_panel_median").when((dataset == special) & (method == "direct"), "healthbench_physician_agreed_emergent_category").otherwise("released_direct_source_mapping")
+
+
+def usable_length(text: Column, least: int, most: int, exclusions: list[str]) -> Column:
+    """Is the text so many characters long, and does no pattern match in it? A null text is not."""
+    clean = F.lit(True)
+    for p in exclusions:
+        clean = clean & ~text.rlike(p)
+    return F.coalesce(F.length(text).between(least, most) & clean, F.lit(False))
+
+
+def numbered_id(name: Column, idx: Column) -> Column:
+    """A name on one line, and the row's place in its file."""
+    return F.concat_ws("_", strip(F.replace(name, F.lit("\n"), F.lit(" "))), idx.cast("string"))
+
+
+def nice_step(span: Column, ticks: int = 6) -> Column:
+    """The least of 1, 2, 2.5, 5 and 10 times a power of ten that cuts the span into at most so many steps; 1 for none."""
+    raw = span / ticks
+    power = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
+    steps = F.filter(F.array(*[F.lit(x) for x in (1.0, 2.0, 2.5, 5.0, 10.0)]), lambda s: s * power >= raw * (1 - 1e-12))
+    return F.when((span > 0) & ~span.isin(float("inf")), F.array_min(steps) * power).otherwise(F.lit(1.0))
+
+
+def _decimals(value: Column, places: int) -> Column:
+    return F.format_number(value, places)
+
+
+def money_text(value: Column) -> Column:
+    """Dollars: whole ones without decimals, others with one."""
+    return F.concat(F.lit("$"), F.when(F.abs(value - F.bround(value, 0)) <= 1e-9 * F.abs(value), _decimals(F.bround(value, 0), 0)).otherwise(_decimals(value, 1)))
+
+
+def duration_text(value: Column) -> Column:
+    """Seconds: whole ones without decimals, others with one, those under a second with two; zeros at the end go."""
+    short = F.regexp_replace(F.when(F.abs(value) < 1, _decimals(value, 2)).otherwise(_decimals(value, 1)), r"\.?0+$", "")
+    return F.concat(F.when(F.abs(value - F.bround(value, 0)) <= 1e-9 * F.abs(value), _decimals(F.bround(value, 0), 0)).otherwise(short), F.lit("s"))

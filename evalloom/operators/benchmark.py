@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.functions.labels import DISAGREEMENT, REMOVE, REMOVE_VOTES, ordinal, ordinal_median, pairs_mean, rating
-from evalloom.functions.text import chat_prompt, filled
+from evalloom.functions.labels import DISAGREEMENT, GOLD_TEXT, REMOVE, REMOVE_VOTES, lookup, ordinal, ordinal_median, pairs_mean, rating
+from evalloom.functions.text import chat_prompt, filled, first_with_prefix
 from evalloom.operators.relations import duplicates, missing_from, stacked
 
 #: How urgency words and physician categories become labels; None goes to a panel.
 URGENCY = {"em": "D", "sc": "A", "ne": None}
-CATEGORIES = ("emergent", "conditionally-emergent", "non-emergent")
+CATEGORIES = {"emergent": "D", "conditionally-emergent": None, "non-emergent": None}
+THEME, CATEGORY_PREFIX = "theme:emergency_referrals", "physician_agreed_category:"
 DIRECT_METHODS = ("direct", "median")
 
 
@@ -24,6 +25,38 @@ def routed_by(df: DataFrame, column: str, routes: dict[str, str | None]) -> tupl
     return df.filter(known).withColumn("mapped_label", label), df.filter(~known)
 
 
+def categorised(df: DataFrame, tags: str, theme: str = THEME, prefix: str = CATEGORY_PREFIX) -> tuple[DataFrame, DataFrame]:
+    """Rows tagged with the theme, routed by the category that their first tag with the prefix names; as from routed_by."""
+    return routed_by(df.filter(F.array_contains(tags, theme)).withColumn("category", first_with_prefix(F.col(tags), prefix)), "category", CATEGORIES)
+
+
+def first_variants(df: DataFrame, variant: str, gold: str) -> tuple[DataFrame, DataFrame]:
+    """The first variant of each case with its normalised label, and those of them whose label is unknown."""
+    out = df.filter(F.col(variant) == 1).withColumn("normalized_label", F.try_element_at(lookup(GOLD_TEXT), F.col(gold))).withColumn("is_edge_case", F.contains(gold, F.lit("/")))
+    return out.filter("normalized_label IS NOT NULL"), out.filter("normalized_label IS NULL")
+
+
+def raters(labels: DataFrame, columns: list[str]) -> DataFrame:
+    """The distinct raters that any of the columns names; blanks aside."""
+    return labels.select(F.explode(F.array(*columns)).alias("rater")).filter("rater <> ''").distinct()
+
+
+def card_counts(cards: DataFrame, sets: dict[str, list[str]]) -> DataFrame:
+    """(counted, value, n): counts of cards by each set of columns, values joined by colons, in one pass."""
+    columns = sorted({c for cols in sets.values() for c in cols})
+    grouped = cards.groupingSets([[F.col(c) for c in cols] for cols in sets.values()], *columns).agg(F.count("*").alias("n"), F.grouping_id(*columns).alias("_set"))
+    mark = {sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in cols): (name, cols) for name, cols in sets.items()}
+    named = [F.when(F.col("_set") == k, F.struct(F.lit(name).alias("counted"), F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]).alias("value"))) for k, (name, cols) in mark.items()]
+    return grouped.select(F.coalesce(*named).alias("x"), "n").select("x.*", "n")
+
+
+def bundle_counts(examples: DataFrame, family: str, source: str, split: str, label: str) -> DataFrame:
+    """(counted, value, n): examples, distinct families and sources, and examples by split and by label."""
+    whole = examples.agg(F.count("*").alias("examples"), F.countDistinct(family).alias("families"), F.countDistinct(source).alias("sources"))
+    rows = whole.select(F.explode(F.array(*[F.struct(F.lit(c).alias("counted"), F.lit("").alias("value"), F.col(c).alias("n")) for c in whole.columns])).alias("x")).select("x.*")
+    return rows.unionByName(card_counts(examples, {"split": [split], "label": [label]}))
+
+
 def edited(df: DataFrame, edits: DataFrame, key: str, text: str) -> DataFrame:
     """Texts replaced by their edit, where one is marked and not blank."""
     good = edits.filter((F.lower("is_edited") == "true") & (F.trim(F.coalesce("edited_text", F.lit(""))) != "")).select(key, F.col("edited_text").alias("_edit"))

@@ -13,6 +13,15 @@ class CheckFailed(ValueError):
     """A check found rows it must not find."""
 
 
+#: Rows of a few values that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, of a few values a row, to be broadcast if its rows are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def require_columns(df: DataFrame, needed: set[str]) -> DataFrame:
     if missing := sorted(needed - set(df.columns)):
         raise CheckFailed(f"missing columns: {', '.join(missing)}")

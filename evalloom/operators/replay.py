@@ -11,6 +11,32 @@ from evalloom.functions.labels import rank
 ACTIONS = ("ASK", "DISPOSE", "HANDOFF")
 
 
+# The fields that an action of each type has, beside its version, and how long texts may be.
+FIELDS = {"ASK": {"question_id": 200, "wording": 1000}, "DISPOSE": {"acuity": 1, "rationale": 2000}, "HANDOFF": {"reason": 1000, "target": 15}}
+TARGET = "human_clinician"
+
+
+def action_errors(actions: DataFrame, key: str, action: str, version: str, questions: list[str]) -> DataFrame:
+    """(key, error): actions, as JSON objects, that aren't exactly what their type asks for.
+
+    Text that is no object is not_an_object; a field that is no string counts as blank.
+    """
+    a = F.col(action)
+    keys = F.json_object_keys(a)
+    kind = F.get_json_object(a, "$.type")
+    value = lambda f: F.try_variant_get(F.try_parse_json(a), f"$.{f}", "string")
+    is_text = lambda f: F.schema_of_variant(F.try_variant_get(F.try_parse_json(a), f"$.{f}", "variant")) == "STRING"
+    rules = [(keys.isNull(), "not_an_object"), (keys.isNotNull() & ~F.coalesce(value("schema_version") == version, F.lit(False)), "wrong_version"), (keys.isNotNull() & ~F.coalesce(kind.isin(*FIELDS), F.lit(False)), "unknown_type")]
+    for name, fields in FIELDS.items():
+        mine = F.coalesce(kind == name, F.lit(False))
+        rules.append((mine & (F.array_sort(keys) != F.array(*[F.lit(x) for x in sorted({"schema_version", "type", *fields})])), "wrong_fields"))
+        for f, most in fields.items():
+            rules.append((mine & ~F.coalesce(is_text(f) & (F.trim(value(f)) != "") & (F.length(value(f)) <= most), F.lit(False)), f"bad_{f}"))
+    rules += [((kind == "ASK") & ~F.coalesce(value("question_id").isin(questions), F.lit(False)), "bad_question_id"), ((kind == "DISPOSE") & ~F.coalesce(value("acuity").isin("A", "B", "C", "D"), F.lit(False)), "bad_acuity"), ((kind == "HANDOFF") & ~F.coalesce(value("target") == TARGET, F.lit(False)), "bad_target")]
+    found = F.array_distinct(F.filter(F.array(*[F.when(c, F.lit(e)) for c, e in rules]), lambda e: e.isNotNull()))
+    return actions.select(key, F.explode(found).alias("error"))
+
+
 def steps(actions: DataFrame) -> DataFrame:
     """actions (case_id, seq, type, question_id, ...) with question number, repeat and after-the-end flags."""
     order = W.partitionBy("case_id").orderBy("seq")

@@ -133,3 +133,20 @@ def finish_status(status: Column, reason: Column) -> Column:
     """A response's end: length where the output cap cut it, error where it failed, else as told."""
     cut = F.coalesce((status == "incomplete") & (reason == "max_output_tokens"), F.lit(False))
     return F.when(cut, "length").when(status.isin("incomplete", "failed"), "error").otherwise(F.coalesce(status, F.lit("unknown")))
+
+
+def provider_summary(attempts: DataFrame, model: str, ok: Column, tokens: list[str], cost: str, duration: str, ttft: str) -> DataFrame:
+    """Per model: attempts, good and failed ones, and sums and exact percentiles over the good ones."""
+    pick = lambda c: F.when(ok, number(c))
+    p = lambda c: F.percentile(pick(c), F.array(F.lit(0.5), F.lit(0.95)))
+    good = F.count_if(ok)
+    out = attempts.groupBy(F.coalesce(model, F.lit("unknown")).alias("model")).agg(F.count("*").alias("attempts"), good.alias("successful_calls"), (F.count("*") - good).alias("failed_calls"), *[F.coalesce(F.sum(F.when(ok, F.col(c).try_cast("long"))), F.lit(0)).alias(c) for c in tokens], F.coalesce(F.sum(pick(cost)), F.lit(0.0)).alias(cost), F.avg(pick(duration)).alias("mean_ms"), p(duration).alias("_d"), F.count(pick(ttft)).alias("_n"), p(ttft).alias("_t"))
+    return out.select("model", "attempts", "successful_calls", "failed_calls", *tokens, cost, "mean_ms", F.get("_d", F.lit(0)).alias("p50_ms"), F.get("_d", F.lit(1)).alias("p95_ms"), (F.col("_n") > 0).alias("ttft_available"), F.get("_t", F.lit(0)).alias("ttft_p50_ms"), F.get("_t", F.lit(1)).alias("ttft_p95_ms"))
+
+
+def priced(calls: DataFrame, prices: DataFrame, model: str) -> DataFrame:
+    """Calls with estimated_cost_usd at their model's prices; null for a model without any. prices: model, input, cached, output."""
+    known = F.broadcast(prices.select(F.col("model").alias(model), F.struct("input", "cached", "output").alias("_p")))  # a registry: rows written by hand
+    fresh = F.greatest(F.coalesce("input_tokens", F.lit(0)) - F.coalesce("cached_input_tokens", F.lit(0)), F.lit(0))
+    cost = (fresh * F.col("_p.input") + F.coalesce("cached_input_tokens", F.lit(0)) * F.col("_p.cached") + F.coalesce("output_tokens", F.lit(0)) * F.col("_p.output")) / 1_000_000
+    return calls.join(known, model, "left").withColumn("estimated_cost_usd", cost).drop("_p")

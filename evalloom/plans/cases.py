@@ -141,16 +141,15 @@ def trigram_containment(spark, d):
     a = screen.prepared(stored(spark, d, "documents"), "doc_id", "text")
     b = screen.prepared(stored(spark, d, "benchmark"), "item_id", "text")
     out = screen.shared_trigrams(a, b).select(F.col("a_key").alias("doc_id"), F.col("b_key").alias("item_id"), F.round("containment", 6).alias("containment"))
-    return out.filter("containment >= 0.02")
+    return out
 
 
 def best_match_screen(spark, d):
-    """The screen over all conversations' openings and all held-out texts."""
-    c = screen.prepared(sql(spark, d, "SELECT conv_id, text FROM {conversations} WHERE turn = 1"), "conv_id", "text")
+    """The screen over all conversations' first messages, against all held-out texts and each other."""
+    first = sql(spark, d, "SELECT conv_id, min_by(text, turn) AS text FROM {conversations} GROUP BY conv_id")
+    c = screen.prepared(first, "conv_id", "text")
     b = screen.prepared(stored(spark, d, "benchmark"), "item_id", "text").withColumn("ord", F.col("key"))
-    best = screen.best_match(c, b, 0.82, 0.65)
-    none = spark.createDataFrame([], "key long, other long")
-    return screen.reasons(best, none, 40, 0.82, 0.65)
+    return screen.reasons(screen.best_match(c, b, 0.82, 0.65), screen.near_duplicates(c, 0.82, 0.65), 40, 0.82, 0.65)
 
 
 def segment_counts(spark, d):
@@ -263,6 +262,13 @@ asked AS (SELECT case_id, count(*) FILTER (type = 'ASK') AS n, list(DISTINCT que
 o AS (SELECT a.case_id, t AS terminal_action, p AS predicted, gold, n, coalesce(len(qs), 0) AS u, list_append(list_filter(coalesce(qs, []), lambda x: x IS NOT NULL), CASE WHEN a.case_id % 6 < 5 THEN 'q' || (a.case_id % 6) END) AS seen FROM asked a JOIN cards c USING (case_id) WHERE t IS NOT NULL),
 oo AS (SELECT case_id, terminal_action, predicted, n AS questions_asked, u AS unique_questions_asked, len(list_intersect(seen, ['q0', 'q1', 'q2'])) / 3.0::DOUBLE AS required_recall, CASE WHEN case_id % 2 = 0 THEN len(list_intersect(seen, ['q3'])) / 1.0::DOUBLE ELSE 1.0::DOUBLE END AS red_flag_recall, CASE WHEN terminal_action = 'DISPOSE' THEN predicted = gold END AS exact, coalesce(terminal_action = 'DISPOSE' AND predicted < gold, false) AS undertriage, terminal_action <> 'DISPOSE' AS handed_off FROM o)
 """
+_STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+_LINES = f"list_filter(list_transform(string_split_regex(text, '\\n+'), lambda x: {_STRIP.format('x')}), lambda x: x <> '')"
+_PARTS = f"flatten(list_transform({_LINES}, lambda x: string_split(regexp_replace(x, '([.!?])\\s+([A-Z0-9\"''])', '\\1' || chr(1) || '\\2', 'g'), chr(1))))"
+_CLEAN = _STRIP.format(f"regexp_replace(regexp_replace({_STRIP.format('x')}, '^#{{1,6}}\\s*', ''), '^(?:[-*•]|\\d+[.)])\\s+', '')")
+_EDGE = r"[^\pL\pN\pM_]"  # this engine's \b knows ASCII alone
+_WORD = {p: f"(?:^|{_EDGE}){p[2:-2]}(?:$|{_EDGE})" for ps in SLOTS.values() for p in ps} | {SLOTS["timing"][0]: f"(?:^|{_EDGE})the(?:{_EDGE}|{_EDGE}.{{0,8}}{_EDGE})and(?:$|{_EDGE})"}
+_HITS = " UNION ALL ".join("SELECT *, '{}' AS slot FROM f WHERE {}".format(slot, " OR ".join(f"regexp_matches(frag, '(?i){_WORD[p]}')" for p in ps)) for slot, ps in SLOTS.items())
 SQL = {
     "pending_antijoin": with_base(["samples", "gold"], "SELECT case_id, t AS task_type, CAST(s AS INT) AS sample_idx FROM gold CROSS JOIN (VALUES ('qa'), ('conv')) a(t) CROSS JOIN (VALUES (0), (1)) b(s) WHERE NOT EXISTS (SELECT 1 FROM samples x WHERE x.case_id = gold.case_id AND x.task_type = t AND x.sample_idx % 2 = s)"),
     "pending_judgments": "SELECT o_orderkey AS k FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus = o_orderstatus AND l_linenumber || '-URGENT' = o_orderpriority AND l_returnflag <> 'R')",
@@ -288,7 +294,10 @@ SQL = {
     "digests": "SELECT doc_id, sha256(text) AS sha256, substr(sha256(text), 1, 12) AS short FROM documents",
     "normalized_text": f"SELECT doc_id, {NORM} AS norm FROM documents",
     "exact_matches": f"WITH n AS (SELECT doc_id, {NORM} AS norm FROM documents) SELECT doc_id, min(doc_id) OVER w AS first_id, count(*) OVER w AS n FROM n WHERE norm <> '' WINDOW w AS (PARTITION BY norm) QUALIFY count(*) OVER w > 1",
-    "trigram_containment": f"WITH a AS (SELECT doc_id, {GRAMS} AS g FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents)), b AS (SELECT item_id, {GRAMS} AS g FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM benchmark)), x AS (SELECT doc_id, item_id, len(list_intersect(a.g, b.g)) / nullif(least(len(a.g), len(b.g)), 0) AS c FROM a, b) SELECT doc_id, item_id, round(c, 6) AS containment FROM x WHERE round(c, 6) >= 0.02",
+    "segment_counts": f"WITH p AS (SELECT conv_id, turn, text, list_filter(list_transform({_PARTS}, lambda x: {_CLEAN}), lambda x: x <> '') AS p FROM conversations), q AS (SELECT conv_id, turn, CASE WHEN len(p) > 0 THEN p ELSE [text] END AS p FROM p) SELECT conv_id, turn, len(p) AS fragments, p[1] || CASE WHEN len(p) > 1 AND length(p[1]) < 140 THEN ' ' || p[2] ELSE '' END || CASE WHEN len(p) > 2 AND length(p[1]) + length(p[2]) < 140 THEN ' ' || p[3] ELSE '' END AS opening FROM q",
+    "topic_router": f"WITH s AS (SELECT doc_id AS c, string_split(text, chr(10)) AS l FROM documents), f AS (SELECT * FROM (SELECT c, unnest(l) AS frag, unnest(range(len(l))) AS idx FROM s) WHERE trim(frag) <> ''), h AS ({_HITS}), e AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY c, slot, frag ORDER BY idx) = 1), lo AS (SELECT c, frag, idx, 'context.additional' AS slot FROM f WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.c = f.c AND e.idx = f.idx) AND NOT EXISTS (SELECT 1 FROM f o WHERE o.idx = 0 AND o.c = f.c AND o.frag = f.frag)) SELECT c AS case, slot, count(*) AS n, md5(string_agg(frag, chr(10) ORDER BY idx)) AS digest FROM (SELECT * FROM e UNION ALL SELECT * FROM lo) GROUP BY c, slot",
+    "trace_transcript": STEPS + ", k AS (SELECT case_id, count(*) FILTER (type = 'ASK') AS asks FROM st WHERE NOT after_end GROUP BY case_id), a AS (SELECT qn FROM st WHERE type = 'ASK' AND NOT after_end AND question_id IN ('q0', 'q1', 'q2', 'q3', 'q4', 'q5')) SELECT 'patient' AS role, 'OPENING' AS kind, count(*) AS n, CAST(0 AS BIGINT) AS places FROM cards UNION ALL SELECT 'clinician', 'ASK', count(*), CAST(sum(2 * qn - 1) AS BIGINT) FROM a UNION ALL SELECT 'patient', 'ANSWER', count(*), CAST(sum(2 * qn) AS BIGINT) FROM a UNION ALL SELECT 'clinician', type, count(*), CAST(sum(2 * asks + 1) AS BIGINT) FROM st JOIN k USING (case_id) WHERE NOT after_end AND type <> 'ASK' GROUP BY type",
+    "trigram_containment": f"WITH a AS (SELECT doc_id, {GRAMS} AS g FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents)), b AS (SELECT item_id, {GRAMS} AS g FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM benchmark)), x AS (SELECT doc_id, item_id, len(list_intersect(a.g, b.g)) / nullif(least(len(a.g), len(b.g)), 0) AS c FROM a, b) SELECT doc_id, item_id, round(c, 6) AS containment FROM x WHERE c > 0",
     "presentation_group": "WITH s AS (SELECT doc_id, " + ", ".join(f"{c} AS {g}" for g, c in COUNTS.items()) + " FROM documents) SELECT doc_id, CASE WHEN greatest(timing, place, cause) = 0 THEN 'general_other' WHEN cause = greatest(timing, place, cause) THEN 'cause' WHEN place = greatest(timing, place, cause) THEN 'place' ELSE 'timing' END AS presentation_group FROM s",
     "round_robin_take": "WITH r AS (SELECT o_orderkey AS case_id, o_orderpriority AS grp, CAST(floor(o_totalprice / 1000) AS INT) AS score FROM orders JOIN customer ON o_custkey = c_custkey), k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, case_id) AS n FROM r) SELECT case_id, grp, score FROM k ORDER BY n, score DESC, grp LIMIT 37",
     "quota_take": "WITH r AS (SELECT o_orderkey AS case_id, c_mktsegment AS pool, o_orderpriority AS grp, CAST(floor(o_totalprice / 1000) AS INT) AS score FROM orders JOIN customer ON o_custkey = c_custkey), k AS (SELECT *, row_number() OVER (PARTITION BY pool, grp ORDER BY score DESC, case_id) AS n FROM r), t AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY n, score DESC, grp) AS turn FROM k) SELECT pool, case_id, turn FROM t WHERE (pool = 'BUILDING' AND turn <= 12) OR (pool = 'MACHINERY' AND turn <= 7)",

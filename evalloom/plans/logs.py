@@ -99,7 +99,7 @@ def run_status(spark, d):
 
 
 def lifecycle(spark, d):
-    rows = base(spark, d, "attempts").withColumn("kind", F.when(F.col("outcome") == "success", "start").when(F.col("outcome") == "terminal_error", "finish")).filter("request_key < 200")
+    rows = base(spark, d, "attempts").withColumn("kind", F.when(F.col("request_key") % 7 == 5, None).when(F.col("outcome") == "success", "start").when((F.col("outcome") == "terminal_error") & (F.col("request_key") % 3 == 0), "finish"))
     return logs.lifecycle(rows, "request_key", "kind", "event_id")
 
 
@@ -119,7 +119,8 @@ def macro_latency(spark, d):
 
 
 def profile_singletons(spark, d):
-    return frontier.singleton_profiles(base(spark, d, "attempts").filter("execution_id < 40 AND event_id % 50 = 0"), "execution_id", ["phase", "outcome"])
+    rows = base(spark, d, "attempts").withColumns({"streaming": F.when(F.col("execution_id") % 3 == 0, F.col("event_id") % 2), "concurrency": F.col("execution_id") % 5})
+    return frontier.singleton_profiles(rows, "execution_id", ["streaming", "concurrency", "phase"])
 
 
 QUERIES = {f.__name__: f for f in (latency_percentiles, execution_summary, usage_cost, status_counts, metadata_extract, profile_sets, request_latency, retry_rules, first_token, latest_success, current_view_upsert, patched_attempts, run_identity, run_status, lifecycle, numbered_attempts, pareto_frontier, macro_latency, profile_singletons)}
@@ -145,9 +146,9 @@ SELECT phase, attempts_tracked, legacy_parent_records, usage_records_expected, u
     "patched_attempts": with_base(["attempts"], "SELECT event_id, execution_id, round(CASE WHEN event_id % 4 = 0 THEN request_wall_ms * 2 ELSE request_wall_ms END, 6) AS request_wall_ms FROM attempts"),
     "run_identity": with_base(["attempts"], "SELECT execution_id, count(DISTINCT outcome) AS fingerprints FROM attempts GROUP BY execution_id HAVING count(DISTINCT outcome) > 1"),
     "run_status": with_base(["attempts"], "SELECT execution_id, CAST(40 AS INT) AS expected, count(*) FILTER (outcome = 'success') AS ok, CASE WHEN count(*) FILTER (outcome = 'success') >= 40 THEN 'complete' WHEN count(*) FILTER (outcome = 'success') > 0 THEN 'partial' ELSE 'pending' END AS status FROM attempts GROUP BY execution_id"),
-    "lifecycle": with_base(["attempts"], "SELECT request_key, min(event_id) FILTER (outcome = 'success') AS started_at, max(event_id) FILTER (outcome = 'terminal_error') AS ended_at, CASE WHEN count(*) FILTER (outcome = 'terminal_error') > 0 THEN 'finished' WHEN count(*) FILTER (outcome = 'success') > 0 THEN 'running' ELSE 'unknown' END AS status FROM attempts WHERE request_key < 200 GROUP BY request_key"),
+    "lifecycle": with_base(["attempts"], ", k AS (SELECT request_key, event_id, CASE WHEN request_key % 7 = 5 THEN NULL WHEN outcome = 'success' THEN 'start' WHEN outcome = 'terminal_error' AND request_key % 3 = 0 THEN 'finish' END AS kind FROM attempts) SELECT request_key, min(event_id) FILTER (kind = 'start') AS started_at, max(event_id) FILTER (kind = 'finish') AS ended_at, CASE WHEN count(*) FILTER (kind = 'finish') > 0 THEN 'finished' WHEN count(*) FILTER (kind = 'start') > 0 THEN 'running' ELSE 'unknown' END AS status FROM k GROUP BY request_key"),
     "numbered_attempts": with_base(["attempts"], "SELECT event_id, row_number() OVER (PARTITION BY request_key ORDER BY ts, event_id) AS attempt FROM attempts"),
     "pareto_frontier": with_base(["attempts"], ", r AS (SELECT execution_id, round(avg(request_wall_ms), 6) AS latency, round(avg(CASE WHEN outcome = 'success' THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy FROM attempts GROUP BY execution_id) SELECT execution_id, latency, accuracy FROM r QUALIFY accuracy > coalesce(max(accuracy) OVER (ORDER BY latency, accuracy DESC, execution_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1)"),
     "macro_latency": with_base(["attempts"], ", b AS (SELECT execution_id, event_id % 2 AS t, CASE WHEN execution_id % 5 <> 0 OR event_id % 50 <> 0 THEN request_wall_ms END AS v FROM attempts), p AS (SELECT execution_id, t, quantile_cont(v, 0.95) AS p, count(v) = count(*) AS whole FROM b GROUP BY ALL) SELECT execution_id, CASE WHEN count(*) FILTER (whole) = 2 THEN round(avg(p), 6) END AS macro_p95_ms FROM p GROUP BY execution_id"),
-    "profile_singletons": with_base(["attempts"], ", b AS (SELECT * FROM attempts WHERE execution_id < 40 AND event_id % 50 = 0) SELECT execution_id, 'phase' AS field, count(DISTINCT phase) AS n FROM b GROUP BY execution_id HAVING count(DISTINCT phase) <> 1 UNION ALL SELECT execution_id, 'outcome', count(DISTINCT outcome) FROM b GROUP BY execution_id HAVING count(DISTINCT outcome) <> 1"),
+    "profile_singletons": with_base(["attempts"], ", b AS (SELECT execution_id, phase, CASE WHEN execution_id % 3 = 0 THEN event_id % 2 END AS streaming FROM attempts), c AS (SELECT execution_id, count(DISTINCT coalesce(streaming, -1)) AS s, count(DISTINCT phase) AS p FROM b GROUP BY execution_id) SELECT execution_id, 'streaming' AS field, s AS n FROM c WHERE s <> 1 UNION ALL SELECT execution_id, 'phase', p FROM c WHERE p <> 1"),
 }

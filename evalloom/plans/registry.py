@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evalloom.plans import agree, cases, logs
+from evalloom.plans import agree, assembly, cases, logs
 
-QUERIES: dict = {**agree.QUERIES, **logs.QUERIES, **cases.QUERIES}
-SQL: dict = {**agree.SQL, **logs.SQL, **cases.SQL}
+QUERIES: dict = {**agree.QUERIES, **logs.QUERIES, **cases.QUERIES, **assembly.QUERIES}
+SQL: dict = {**agree.SQL, **logs.SQL, **cases.SQL, **assembly.SQL}

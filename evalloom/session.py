@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -10,6 +13,7 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -21,3 +25,13 @@ def session(master: str | None = None, app: str = "evalloom", **conf: str) -> Sp
     if master:
         builder = builder.master(master)
     return builder.config(map=SETTINGS | conf).getOrCreate()
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir; where it is unset, in one of our own, on a single machine only."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if top is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        top = f"file://{tempfile.mkdtemp(prefix='evalloom-')}"
+    return f"{top}/{name}-{uuid.uuid4().hex}"

@@ -65,6 +65,26 @@ def _named(spark: SparkSession, sql: str, tables: dict[str, DataFrame], args: di
     return spark.sql(sql, args=args)
 
 
+def source_states(lock: DataFrame, found: DataFrame, refresh: bool = False, offline: bool = False) -> DataFrame:
+    """(name, state): what a locked file needs. found: name, sha256, bytes of what lies in the cache.
+
+    verified files stay unless refresh; others are to be fetched, which offline forbids.
+    """
+    there = found.select("name", F.col("sha256").alias("_s"), F.col("bytes").alias("_b"))
+    good = F.coalesce((F.col("sha256") == F.col("_s")) & (F.col("bytes") == F.col("_b")), F.lit(False))
+    need = F.when(F.lit(offline), F.when(F.col("_s").isNull(), "missing_offline").otherwise("mismatch_offline")).otherwise(F.when(F.col("_s").isNull(), "fetch").otherwise("replace"))
+    return lock.join(there, "name", "left").select("name", F.when(good & F.lit(not refresh or offline), "verified").when(good, "replace").otherwise(need).alias("state"))
+
+
+def closed_contract(fields: dict[str, object], names: set[str]) -> dict[str, object]:
+    """A manifest part that must have exactly these fields, none of them null."""
+    if wrong := sorted(set(fields) ^ names):
+        raise CheckFailed(f"fields that are missing or unknown: {', '.join(wrong)}")
+    if empty := sorted(k for k, v in fields.items() if v is None):
+        raise CheckFailed(f"fields without a value: {', '.join(empty)}")
+    return dict(sorted(fields.items()))
+
+
 def verified_files(spark: SparkSession, paths: list[str], lock: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Files against a lock table (name, sha256, bytes): the report, and the names that don't agree.
 
@@ -75,8 +95,8 @@ def verified_files(spark: SparkSession, paths: list[str], lock: DataFrame) -> tu
     return report, report.filter("NOT verified").select("name")
 
 
-def sorted_json(df: DataFrame, column: str = "value") -> DataFrame:
-    """Rows as JSON text with keys in order at every level; nulls are told and NaN is null."""
+def sorted_json(df: DataFrame, column: str = "value", pretty: bool = False) -> DataFrame:
+    """Rows as JSON text with keys in order at every level; nulls are told and NaN is null. pretty: indented, over several lines."""
 
     def tidy(c, kind):
         if isinstance(kind, StructType):
@@ -90,10 +110,11 @@ def sorted_json(df: DataFrame, column: str = "value") -> DataFrame:
         return c
 
     cols = [tidy(F.col(f.name), f.dataType).alias(f.name) for f in sorted(df.schema.fields, key=lambda f: f.name)]
-    return df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias(column))
+    return df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false", "pretty": str(pretty).lower()}).alias(column))
 
 
-def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists", compact: bool = True) -> None:
+def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """One compact object per line, as a reader of lines needs it."""
     sorted_json(df).write.mode(mode).text(path)
 
 

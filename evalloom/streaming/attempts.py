@@ -22,3 +22,9 @@ def to_parquet(df: DataFrame, path: str, checkpoint: str, once: bool = True) ->
     """Append finished windows; once: what there is, then stop."""
     w = df.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()
+
+
+def drained(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """What the stream has so far, written and read back."""
+    to_parquet(stream, path, checkpoint).awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
