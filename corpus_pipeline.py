@@ -19,10 +19,19 @@ from evalloom.llm.token_ids import public_vocabulary
 from evalloom.llm.toxicity import keep_clean
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have, in any case of its letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs without the rows of these ids; rows with no id stay."""
-    gone = ids.select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(few(gone), docs["doc_id"] == F.col("gone_id"), "left_anti")
+    key = fresh(docs, "gone_id")
+    gone = ids.select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(few(gone), docs["doc_id"] == F.col(key), "left_anti")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +55,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The classifier learns from the labelled documents among those that are left.
     """
     rates = mix(docs, quality_domains(docs, tables(spark, sf_dir, "labels")), power=0.8, floor=1.0, grow=True)
-    again = rates.groupBy(F.col("doc_id").alias("again_id")).agg(F.max("copies").alias("again_copies")).filter("again_copies > 1")
-    joined = docs.join(again, docs["doc_id"] == F.col("again_id"), "left")
-    more = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.coalesce("again_copies", F.lit(1))).cast("int")))
-    return joined.select(*[docs[c] for c in docs.columns], more.alias("_again_copy")).drop("_again_copy")
+    key, copies, copy = (fresh(docs, c) for c in ("again_id", "again_copies", "again_copy"))
+    again = rates.groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(copies)).filter(F.col(copies) > 1)
+    joined = docs.join(again, docs["doc_id"] == F.col(key), "left")
+    more = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.coalesce(copies, F.lit(1))).cast("int")))
+    return joined.select(*[docs[c] for c in docs.columns], more.alias(copy)).drop(copy)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

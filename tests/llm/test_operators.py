@@ -348,7 +348,8 @@ def test_unaligned_passages(spark):
     assert got == {(i, i - i % 2) for i in range(200)}
 
 
-def test_passages_against_brute_force(spark):
+@pytest.mark.parametrize("most", [512, 3])
+def test_passages_against_brute_force(spark, most):
     """All pairs of paragraphs by exact Jaccard: near paragraphs differ by a word at their ends, others in the middle."""
     rng = random.Random(77)
     base = [words(rng, 80).split() for _ in range(6)]
@@ -367,7 +368,7 @@ def test_passages_against_brute_force(spark):
     for p, r in root.items():
         of[r].add(int(text[p]))
     want = {(int(text[p]), w, min(of[r])) for p, r in root.items() if len(of[r]) > 1 for w in range(at[p], at[p] + 24)}
-    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), most=most).collect()
     got = {(r.doc_id, w, r.cluster_doc_id) for r in found for w in range(r.first_word, r.first_word + r.n_words)}
     assert len({(p, q) for p, q in links if sets[p] != sets[q]}) > 100
     assert len({x[:2] for x in want} & {x[:2] for x in got}) >= 0.98 * len({x[:2] for x in want}) and len(want & got) >= 0.95 * len(want)
@@ -488,14 +489,59 @@ def test_toxicity_held_out(labelled):
 
 
 def test_toxicity_grammar():
-    g = toxicity.clause_symbols
+    g = lambda classes: [s for _, s, _ in toxicity.clause_symbols(classes)]
     assert g(["T", "O", "I"]) == ["tI"] and g(["I", "T"]) == ["tI"] and g(["O", "I"]) == ["I"]
     assert g(["N", "O", "I"]) == ["nI"] and g(["N", "O", "O", "O", "O", "I"]) == ["I"]
-    assert g(["T", "R", "O", "T", "I"]) == ["rI"] and g(["X", "T"]) == ["tX"] and g([]) == []
+    assert g(["T", "R", "O", "T", "I"]) == ["rI"] and g(["V", "T"]) == ["tX"] and g(["W", "V"]) == ["X"] and g([]) == []
     m = toxicity.Lexicon([("idiot", 1e-2, 1e-5)])
-    w = toxicity.fit_weights(np.zeros((0, 10)), np.zeros(0))
+    w = toxicity.fit_weights(np.zeros((0, 2 * len(toxicity.SYMBOLS))), np.zeros(0))
     score = lambda t: float(np.r_[m.features(t), 1] @ w)
     assert score("you are an idiot.") > score("an idiot.") > score("never an idiot.") and score("I will kill you") > score("he said: kill time")
+    assert score("x " * 400 + "you are an idiot " + "x " * 400) > score("x " * 400 + "said an idiot " + "x " * 400)  # a clause of any length
+
+
+def test_composed_transducers_are_the_rules_they_stand_for():
+    """All clauses of up to six words over the classes, each match read off the clause directly."""
+    from itertools import product
+
+    def direct(c):
+        x = ["X" if s == "V" else "I" if s == "I" else None for s in c]
+        out = []
+        for i, kind in enumerate(x):
+            if not kind:
+                continue
+
+            def reached(trigger, reach, word=i):  # other words use the reach up, matches don't
+                left = 0
+                for j in range(word):
+                    left = reach if c[j] == trigger else left if x[j] else max(0, left - 1)
+                return left > 0
+
+            back = [*c[::-1]]
+            after, left = len(c) - 1 - i, 0
+            for j in range(after):
+                left = 4 if back[j] == "T" else left if back[j] in "IV" else max(0, left - 1)
+            weight, intent = 0.0, 0
+            if kind == "X":
+                for j in range(i):
+                    intent = 4 if c[j] == "W" else 0 if c[j] == "V" else max(0, intent - 1)
+                weight += 2.0 if intent else 1.0
+            r, n, t = reached("R", 12), reached("N", 3), reached("T", 4)
+            weight += -0.5 * r - 1.0 * n + 1.0 * t
+            mark = "r" if r else "n" if n else "t" if t or left else ""
+            out.append((i, mark + kind, weight + (mark == "t" and not t)))
+        return out
+
+    for size in range(7):
+        for c in product("ITNRVWO"[:: 1 if size < 6 else 2], repeat=size):
+            assert toxicity.clause_symbols(list(c)) == direct(c), c
+
+
+def test_no_text_reaches_the_driver(labelled):
+    docs, labels, _ = labelled
+    m = toxicity.Model(docs, labels)
+    assert {s for s, _, _ in m.lexicon.stems} & {"grumpf", "snork"} and len(m.lexicon.stems) <= toxicity.LEXICON
+    assert all(len(ws) <= toxicity.CONTEXT for ws in m.lexicon.learned.values()) and len(m.weights) == 2 * len(toxicity.SYMBOLS) + 1
 
 
 def test_toxicity_edges(spark, edge, labelled):

@@ -17,7 +17,7 @@ def stages(spark, tmp_path_factory):
     """The documents, then what each stage leaves, written and read again."""
     out, docs = [], spark.read.parquet(f"{SF}/documents.parquet")
     odd = spark.createDataFrame([(None, "no id"), (900_001, None), (900_002, "")], "doc_id long, text string")
-    docs = docs.unionByName(odd, allowMissingColumns=True).withColumn("gone_id", F.lit(1)).withColumn("copies", F.lit(2))
+    docs = docs.unionByName(odd, allowMissingColumns=True).withColumns({c: F.lit(i) for i, c in enumerate(("gone_id", "Gone_ID_", "copies", "again_id", "again_copies", "again_copy"))})
     out.append(docs.cache())
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         path = f"file://{tmp_path_factory.mktemp('stage')}/{k}"
