@@ -1,9 +1,10 @@
 """Exact duplicates by a log-structured merge index of digests.
 
 Digests are computed in the JVM. Memtables (one after another within a task) flush sorted runs, cut by
-digest range and each with a Bloom filter; compaction of a range merges its runs, keeps the smallest id
-of a digest and adds up the counts. The filters spare the merge: an entry that is alone in its run and
-in no other run's filter is unique and is never sorted again. Members of a group are then compared byte
+digest range and each with a Bloom filter; compaction of a range merges its runs level by level, FAN at a time,
+keeps the smallest id of a digest and adds up the counts. The filters spare the merge: of the runs merged, an
+entry that is in no other one's filter is handed on to the next level as it is, so the work is the number of
+entries times the levels, however many memtables there are. Members of a group are then compared byte
 by byte with the row that stays; were two texts to share a digest, each would get a group of its own.
 
 A group of any size is safe: memtables pre-aggregate it before the shuffle, the join back to rows is
@@ -31,14 +32,16 @@ SALTS = 16
 #: Members of groups (ids and digests, under 10 MB) that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 BITS_PER_KEY = 10
+#: Runs that are merged at once.
+FAN = 8
 
 
-def bloom(keys: np.ndarray, bits: int) -> np.ndarray:
-    """A Bloom filter (bit array) of 64-bit keys, with three probes."""
-    out = np.zeros(bits, bool)
-    for p in probes(keys, bits):
+def bloom(keys: np.ndarray) -> np.ndarray:
+    """A Bloom filter of 64-bit keys, with three probes: an array of bits."""
+    out = np.zeros(max(64, -(-len(keys) * BITS_PER_KEY // 8) * 8), bool)
+    for p in probes(keys, len(out)):
         out[p] = True
-    return np.packbits(out)
+    return out
 
 
 def probes(keys: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -47,10 +50,9 @@ def probes(keys: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 def maybe_in(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    bits = np.unpackbits(filter_)
     out = np.ones(len(keys), bool)
-    for p in probes(keys, len(bits)):
-        out &= bits[p].astype(bool)
+    for p in probes(keys, len(filter_)):
+        out &= filter_[p]
     return out
 
 
@@ -80,8 +82,7 @@ def memtables(ranges: int, rows: int):
         out = []
         for r in np.unique(part):
             lo, hi = np.searchsorted(part, [r, r + np.uint64(1)])
-            bits = max(64, -(-int(hi - lo) * BITS_PER_KEY // 8) * 8)
-            out.append((int(r), w[lo:hi].tobytes(), i[lo:hi].tobytes(), c[lo:hi].tobytes(), bloom(w[lo:hi, 0], bits).tobytes()))
+            out.append((int(r), w[lo:hi].tobytes(), i[lo:hi].tobytes(), c[lo:hi].tobytes(), np.packbits(bloom(w[lo:hi, 0])).tobytes()))
         cols = [pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[k] for x in out], pa.binary()) for k in (1, 2, 3, 4))]
         return pa.RecordBatch.from_arrays(cols, names=["range", "digests", "ids", "counts", "filter"])
 
@@ -99,32 +100,47 @@ def memtables(ranges: int, rows: int):
     return run
 
 
-def compact(width: int):
+Run = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # digests, smallest ids, counts, filter
+
+
+def merged(runs: list[Run]) -> Run:
+    """One run of several: entries that another one's filter may hold are sorted together, the others pass."""
+    picked, rest = [], []
+    for k, (w, ids, counts, _) in enumerate(runs):
+        may = np.zeros(len(w), bool)
+        for j, other in enumerate(runs):
+            if j != k:
+                left = np.flatnonzero(~may)
+                may[left] = maybe_in(other[3], w[left, 0])
+        picked.append((w[may], ids[may], counts[may]))
+        rest.append((w[~may], ids[~may], counts[~may]))
+    if any(len(x[0]) for x in picked):
+        rest.append(reduced(*(np.concatenate([x[k] for x in picked]) for k in range(3))))
+    w, ids, counts = (np.concatenate([x[k] for x in rest]) for k in range(3))
+    return w, ids, counts, bloom(w[:, 0])
+
+
+def compacted(runs: list[Run], fan: int = FAN) -> Run:
+    while len(runs) > 1:
+        runs = [merged(runs[i : i + fan]) for i in range(0, len(runs), fan)]
+    return runs[0]
+
+
+def compact(width: int, fan: int):
     """A function for applyInPandas: all runs of a digest range -> the digests that occur more than once."""
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         n_words = -(-width // 8)
-        runs = [(np.frombuffer(a, np.uint64).reshape(-1, n_words), np.frombuffer(b, np.int64), np.frombuffer(c, np.int64), np.frombuffer(f, np.uint8)) for a, b, c, f in zip(pdf["digests"], pdf["ids"], pdf["counts"], pdf["filter"], strict=True)]
-        picked = []
-        for k, (w, ids, counts, _) in enumerate(runs):
-            may = counts > 1
-            for j, other in enumerate(runs):
-                if j != k and not may.all():
-                    rest = np.flatnonzero(~may)
-                    may[rest] = maybe_in(other[3], w[rest, 0])
-            if may.any():
-                picked.append((w[may], ids[may], counts[may]))
-        if not picked:
-            return pd.DataFrame({"digest": pd.Series([], dtype=object), "keep_id": pd.Series([], dtype="int64"), "group_size": pd.Series([], dtype="int64")})
-        w, i, c = reduced(*(np.concatenate([x[k] for x in picked]) for k in range(3)))
+        runs = [(np.frombuffer(a, np.uint64).reshape(-1, n_words), np.frombuffer(b, np.int64), np.frombuffer(c, np.int64), np.unpackbits(np.frombuffer(f, np.uint8)).astype(bool)) for a, b, c, f in zip(pdf["digests"], pdf["ids"], pdf["counts"], pdf["filter"], strict=True)]
+        w, i, c, _ = compacted(runs, fan)
         many = c > 1
         raw = w[many].astype(">u8").view(np.uint8).reshape(-1, n_words * 8)[:, :width]
-        return pd.DataFrame({"digest": [x.tobytes() for x in raw], "keep_id": i[many], "group_size": c[many]})
+        return pd.DataFrame({"digest": pd.Series([x.tobytes() for x in raw], dtype=object), "keep_id": i[many], "group_size": c[many]})
 
     return merge
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 32, memtable_rows: int = MEMTABLE_ROWS, range_rows: int = RANGE_ROWS) -> DataFrame:
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 32, memtable_rows: int = MEMTABLE_ROWS, range_rows: int = RANGE_ROWS, fan: int = FAN) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after each run of white space became one space; null is empty, so
@@ -138,7 +154,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     keyed = seen.select("doc_id", F.substring("sha", 1, width).alias("digest"))
     ranges = max(1, -(-seen.count() // range_rows))
     runs = keyed.mapInArrow(memtables(ranges, memtable_rows), "range int, digests binary, ids binary, counts binary, filter binary")
-    groups = cut(runs.groupBy("range").applyInPandas(compact(width), "digest binary, keep_id long, group_size long"))
+    groups = cut(runs.groupBy("range").applyInPandas(compact(width, fan), "digest binary, keep_id long, group_size long"))
 
     salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     of_row = cut(seen.withColumns({"digest": F.substring("sha", 1, width), "salt": F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")}).join(salted, ["digest", "salt"], "left").select("doc_id", "sha", "digest", "keep_id", F.coalesce("group_size", F.lit(1)).alias("group_size")))
