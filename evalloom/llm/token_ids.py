@@ -1,21 +1,22 @@
 """Token ids of documents, and their file format.
 
-Ids come from the tokenizers library. Its pre-tokenizer for these vocabularies never joins pieces across
-ASCII white space, so a word's ids don't depend on its neighbours: each worker encodes a word once and
-keeps its ids (a bounded cache), which is what makes whole corpora affordable.
+Ids come from the tokenizers library. Where a vocabulary's pre-tokenizer never joins pieces across ASCII white
+space, a word's ids don't depend on its neighbours: each worker encodes a word once and keeps its ids (a
+bounded cache), which is what makes whole corpora affordable. Texts of other vocabularies are encoded whole.
 
 Format: a dataset of shards, one row per shard, with the columns range, shard (ascending doc_id order is
-that of the pair), dict_hash (SHA-256 of the shared zstandard dictionary), n_ids, first (ids of the
-range before this shard), doc_ids (int64 each), n_tokens (int64 each), offsets (int64, one more than
-documents), payload. Document k of a shard is the zstandard frame
-payload[offsets[k]:offsets[k + 1]], compressed by itself with the shared dictionary; it holds the ids
-as little-endian unsigned integers of 16 bits (32 where the vocabulary needs them). The dictionary lies
-beside the shards, in the folder dict. A short document is thus read without touching its neighbours.
+that of the pair), dict_hash (SHA-256 of the shared zstandard dictionary), width (bytes of an id: 2, or 4
+where the vocabulary needs them), n_ids, first (ids of the range before this shard), doc_ids (int64 each),
+n_tokens (int64 each), offsets (int64, one more than documents), payload. Document k of a shard is the
+zstandard frame payload[offsets[k]:offsets[k + 1]], compressed by itself with the shared dictionary; it holds
+the ids as little-endian unsigned integers of that width. The dictionary lies beside the shards, in the folder
+dict. A short document is thus read without touching its neighbours.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -27,13 +28,13 @@ from pyspark.sql import functions as F
 from evalloom.llm.common import bytes_of, docs_of, ids_of, sample_of, shared_path, sliced, tables
 
 END_ID = 1
-#: Documents whose ids train the dictionary, at most, and the bytes of each that are used.
-TRAIN_DOCS, TRAIN_BYTES = 1_000, 8_000
+#: Documents whose ids train the dictionary, at most, and the characters of each that are used, from anywhere in it.
+TRAIN_DOCS, TRAIN_CHARACTERS = 1_000, 8_000
 DICT_BYTES = 64_000
 #: Documents of a shard, at most.
 SHARD_DOCS = 4_000
-#: Ranges of doc_id that are dealt out, at most; each has as many shards as it needs.
-RANGES = 4_096
+#: Shards of a range of doc_id, about; a range is written by one task. Beyond so many ranges each has more shards.
+RANGE_SHARDS, MOST_RANGES = 4, 1 << 20
 CACHED_WORDS = 300_000
 
 
@@ -44,11 +45,18 @@ def public_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Steps of vocabularies that may be encoded a word at a time: white space and case are dropped, and pieces are runs of one Unicode class.
+WORD_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None,
+}
+
+
 class WordEncoder:
-    """Ids of texts as the tokenizers library gives them, a word at a time.
+    """Ids of texts as the tokenizers library gives them: a word at a time if the vocabulary's steps are WORD_STEPS, else whole.
 
-    For vocabularies that drop white space and case, pre-tokenize by Unicode classes and map bytes; the
-    tests hold it against the library's own encoding of whole texts. Texts come as UTF-8 bytes; each ends
+    The tests hold it against the library's own encoding of whole texts. Texts come as UTF-8 bytes; each ends
     with end_id. A word that ends in a mark is looked up without it; words of ASCII letters go straight to
     the library's BPE model, others through its whole chain, many joined by a mark of their own.
     """
@@ -62,6 +70,10 @@ class WordEncoder:
         self._model = self._tok.model
         self._dtype = np.dtype("<u2" if self._tok.get_vocab_size() <= 1 << 16 else "<u4")
         self._end, self._most, self._of = np.array([end_id], self._dtype).tobytes(), most, {}
+        steps = json.loads(self._tok.to_str())
+        self.by_word = all(steps.get(k) == v for k, v in WORD_STEPS.items()) and steps["model"]["type"] == "BPE"
+        if not self.by_word:
+            return
         (self._mark,) = self._ids(self.MARK)
         self._ends = {m.encode(): self._packed(self._ids(m)) for m in ".,"}
 
@@ -102,6 +114,8 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, serialized."""
+        if not self.by_word:
+            return [self._packed(e.ids) + self._end for e in self._tok.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
         words = [t.lower().split() for t in texts]  # of bytes: ASCII letters, ASCII white space
         if len(self._of) > self._most:
             self._of.clear()
@@ -127,7 +141,8 @@ def train_dictionary(df: DataFrame, path: str, size: int = DICT_BYTES, most: int
     """
     import zstandard
 
-    rows = sample_of(df, most).select(F.substring("text", 1, TRAIN_BYTES).alias("text")).limit(2 * most).collect()
+    spare = F.greatest(F.lit(1), F.length("text") - TRAIN_CHARACTERS)
+    rows = sample_of(df, most).select(F.substring("text", 1 + F.pmod(F.xxhash64("doc_id"), spare).cast("int"), F.lit(TRAIN_CHARACTERS)).alias("text")).limit(2 * most).collect()
     enc = WordEncoder(path)
     samples = enc.encode([r.text.encode() for r in rows])
     try:
@@ -154,9 +169,9 @@ def write_token_shards(df: DataFrame, out: str, path: str, level: int = 3, shard
     raw = train_dictionary(docs, path)
     mark = hashlib.sha256(raw).hexdigest()
     spark.createDataFrame([(mark, bytearray(raw))], "dict_hash string, content binary").write.mode("overwrite").parquet(f"{out}/dict")
-    ranges = min(RANGES, max(1, -(-docs.count() // shard_docs)))
+    ranges = min(MOST_RANGES, max(1, -(-docs.count() // (RANGE_SHARDS * shard_docs))))
     cuts = [] if ranges == 1 else docs.select("doc_id").approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.25 / ranges)
-    bounds = np.unique(np.array(cuts, np.int64))
+    bounds, width = np.unique(np.array(cuts, np.int64)), WordEncoder(path).dtype.itemsize
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -172,7 +187,7 @@ def write_token_shards(df: DataFrame, out: str, path: str, level: int = 3, shard
 
         def closed() -> pa.RecordBatch:
             offsets = np.r_[0, np.cumsum([len(x) for x in frames])].astype("<i8")
-            row = {"range": at, "shard": shard, "dict_hash": mark, "n_ids": sum(counts), "first": first, "doc_ids": np.array(ids, "<i8").tobytes(), "n_tokens": np.array(counts, "<i8").tobytes(), "offsets": offsets.tobytes(), "payload": b"".join(frames)}
+            row = {"range": at, "shard": shard, "dict_hash": mark, "width": width, "n_ids": sum(counts), "first": first, "doc_ids": np.array(ids, "<i8").tobytes(), "n_tokens": np.array(counts, "<i8").tobytes(), "offsets": offsets.tobytes(), "payload": b"".join(frames)}
             return pa.RecordBatch.from_pylist([row], pa.schema(SHARD_FIELDS))
 
         for b in batches:
@@ -189,20 +204,20 @@ def write_token_shards(df: DataFrame, out: str, path: str, level: int = 3, shard
             yield closed()
 
     frames = docs.mapInArrow(compress, "range int, doc_id long, n_tokens long, frame binary")
-    dealt = frames.repartition(ranges, "range").sortWithinPartitions("range", "doc_id", "n_tokens", F.xxhash64("frame"))
-    dealt.mapInArrow(build, "range int, shard int, dict_hash string, n_ids long, first long, doc_ids binary, n_tokens binary, offsets binary, payload binary").write.mode("overwrite").parquet(f"{out}/shards")
+    dealt = frames.repartitionById(ranges, "range").sortWithinPartitions("range", "doc_id", "n_tokens", F.xxhash64("frame"))
+    dealt.mapInArrow(build, "range int, shard int, dict_hash string, width int, n_ids long, first long, doc_ids binary, n_tokens binary, offsets binary, payload binary").write.mode("overwrite").parquet(f"{out}/shards")
 
 
-SHARD_FIELDS = [("range", pa.int32()), ("shard", pa.int32()), ("dict_hash", pa.string()), ("n_ids", pa.int64()), ("first", pa.int64()), *((k, pa.binary()) for k in ("doc_ids", "n_tokens", "offsets", "payload"))]
+SHARD_FIELDS = [("range", pa.int32()), ("shard", pa.int32()), ("dict_hash", pa.string()), ("width", pa.int32()), ("n_ids", pa.int64()), ("first", pa.int64()), *((k, pa.binary()) for k in ("doc_ids", "n_tokens", "offsets", "payload"))]
 
 
 class TokenReader:
     """Documents of a shard, one at a time."""
 
-    def __init__(self, dictionary: bytes, kind: str = "<u2") -> None:
+    def __init__(self, dictionary: bytes) -> None:
         import zstandard
 
-        self.dict_hash, self._kind = hashlib.sha256(dictionary).hexdigest(), kind
+        self.dict_hash = hashlib.sha256(dictionary).hexdigest()
         self._z = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary))
 
     def read(self, shard: dict, k: int) -> np.ndarray:
@@ -210,23 +225,22 @@ class TokenReader:
         if shard["dict_hash"] != self.dict_hash:
             raise ValueError("the shard was written with another dictionary")
         lo, hi = np.frombuffer(shard["offsets"], "<i8", 2, 8 * k)
-        return np.frombuffer(self._z.decompress(shard["payload"][lo:hi]), self._kind)
+        return np.frombuffer(self._z.decompress(shard["payload"][lo:hi]), f"<u{shard['width']}")
 
 
 def read_token_shards(spark: SparkSession, out: str, with_ids: bool = False) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids.
 
-    start counts the ids of all documents before it. The sums of the ranges (4,096 at most) are added up on
+    start counts the ids of all documents before it. The sums of the ranges (a million at most) are added up on
     the driver.
     """
     raw = bytes(spark.read.parquet(f"{out}/dict").head().content)
     shards = spark.read.parquet(f"{out}/shards")
     sums = shards.groupBy("range").agg(F.sum("n_ids").alias("total")).orderBy("range").collect()
     before = dict(zip([r["range"] for r in sums], np.r_[0, np.cumsum([r["total"] for r in sums])].tolist(), strict=False))
-    kind = "<u2"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = TokenReader(raw, kind)
+        reader = TokenReader(raw)
         for b in batches:
             for row in range(b.num_rows):
                 shard = {f: b.column(i)[row].as_py() for i, f in enumerate(b.schema.names)}
