@@ -6,9 +6,10 @@ partners share at least l grams within their first n - T + l ones; these alone a
 inverted list holds the documents that have it there. A document is dropped when fewer of its grams are in lists
 of two or more than the l of its smallest partner (of T grams).
 
-Documents that are left and share entries make up clusters. Within a cluster the search proper runs, chunk by
-chunk: a query's longest lists are set aside, its short lists are merged with counts, and each candidate that
-can still reach the overlap is probed in the long lists by binary search.
+Documents that are left and share entries make up clusters. Of a cluster all of like size are held against one
+lead; for those unlike it the search proper runs, chunk by chunk: a query's longest lists are set aside, its
+short lists are merged with counts, and each candidate that can still reach the overlap is probed in the long
+lists by binary search.
 
 Components need not see every pair of a large group of near copies: documents that are connected within
 a task are not probed again, and a task returns a spanning forest of its links.
@@ -16,6 +17,7 @@ a task are not probed again, and a task returns a spanning forest of its links.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +25,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from evalloom.llm.common import WordHashes, bytes_of, cut, docs_of, few, ids_of, mix64, rolled, sliced, tables
+from evalloom.llm.common import bytes_of, cut, docs_of, few, gram_sets, ids_of, mix64, sliced, tables
 from evalloom.llm.components import components
 
 #: Documents whose lists are folded within a task before the shuffle.
@@ -57,23 +58,6 @@ def at_least(percent: int, share: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.ceil(F.col("n") * percent / 100) * share / 100))
 
 
-def gram_set(hashes: np.ndarray, k: int) -> np.ndarray:
-    return np.unique(rolled(hashes, k))
-
-
-class Sets:
-    """Cuts texts into their sets of word n-grams."""
-
-    def __init__(self, k: int) -> None:
-        self._k, self._hashes = k, WordHashes()
-
-    def of(self, texts: list[bytes]) -> list[np.ndarray]:
-        words = [t.lower().split() for t in texts]  # of bytes: A-Z, and ASCII white space
-        flat = self._hashes([w for ws in words for w in ws])
-        at = np.r_[0, np.cumsum([len(ws) for ws in words])]
-        return [gram_set(flat[lo:hi], self._k) for lo, hi in zip(at[:-1], at[1:], strict=True)]
-
-
 def prefix_size(n: np.ndarray, percent: int, share: int) -> np.ndarray:
     return np.minimum(n, n - needed(n, percent) + extra(n, share))
 
@@ -82,9 +66,8 @@ def full_sets(k: int):
     """A function for mapInArrow: texts -> (doc_id, n, grams)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Sets(k)
         for b in sliced(batches, 256):
-            sets = make.of(bytes_of(b))
+            sets = gram_sets(bytes_of(b), k)
             yield pa.RecordBatch.from_arrays([pa.array(ids_of(b)), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "n", "grams"])
 
     return run
@@ -135,10 +118,10 @@ def fold(k: int, percent: int, buckets: int):
         return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], names=PARTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, ids, sets, held, turn = Sets(k), [], [], 0, 0
+        ids, sets, held, turn = [], [], 0, 0
         for b in sliced(batches):
             ids.append(ids_of(b))
-            sets += make.of(bytes_of(b))
+            sets += gram_sets(bytes_of(b), k)
             held += b.num_rows
             if held >= FOLD_DOCS:
                 turn += 1 + int(ids[0][0]) % 7919
@@ -213,7 +196,7 @@ def _exploded(percent: int):
 
 
 def block(percent: int, aside: bool):
-    """A function for applyInPandas: two chunks of a cluster (side 0 and 1) -> a spanning forest of their links.
+    """A function for applyInPandas: chunks of a cluster that ask (side 0) and hold (side 1) -> a spanning forest of their links.
 
     T-occurrence search on the chunk's inverted lists: of a query's lists the longest are set aside, as many
     as it may share without reaching the overlap; the short ones are merged, and the candidates that reach
@@ -223,8 +206,8 @@ def block(percent: int, aside: bool):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        same = right.empty  # a chunk with itself comes once
-        right = left if same else right
+        if left.empty or right.empty:
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
         sets = [np.frombuffer(x, np.uint64) for x in right["grams"]]
         ids, sizes = right["doc_id"].to_numpy(), np.array([len(x) for x in sets])
         grams = np.concatenate(sets)
@@ -241,7 +224,7 @@ def block(percent: int, aside: bool):
             return x
 
         a, b = [], []
-        for k, (me, blob) in enumerate(zip(left["doc_id"].tolist(), left["grams"], strict=True)):
+        for me, blob in zip(left["doc_id"].tolist(), left["grams"], strict=True):
             mine = np.frombuffer(blob, np.uint64)
             n = len(mine)
             at = np.searchsorted(lists, mine)
@@ -257,7 +240,7 @@ def block(percent: int, aside: bool):
             # |both| >= percent (n + m) / (100 + percent); at most the long lists and the rest of each set are missing
             wanted = -(-percent * (n + sizes) // (100 + percent))
             for c in np.flatnonzero((count >= wanted - longest) & (count > 0)).tolist():
-                if (same and c <= k) or ids[c] == me or find(me) == find(int(ids[c])):
+                if ids[c] == me or find(me) == find(int(ids[c])):
                     continue
                 both = int(count[c])
                 if longest:
@@ -304,29 +287,63 @@ def jaccard_join(df: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     return sets.select("doc_id", F.col("n").alias("n_shingles")).join(joined, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
+def against_leads(percent: int):
+    """A function for mapInArrow: (doc_id, lead, grams, lead_grams) -> do they link?"""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            out = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                n, m = len(x) // 8, len(y) // 8
+                both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) if 100 * min(n, m) >= percent * max(n, m) else 0
+                out.append(100 * both >= percent * (n + m - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.bool_())], names=["doc_id", "lead", "alike"])
+
+    return run
+
+
 def links_between(search: DataFrame, full: DataFrame, percent: int, least: Column | None = None) -> DataFrame:
     """Links (a, b) that connect all that is connected, from entries (gram, doc_id, n) and the full sets (doc_id, n, grams).
 
     Partners share least(n) entries or more (one, by default). Documents that share an entry, directly or
-    through others, form a cluster, found by one edge for each entry. A cluster is cut into chunks by
-    size, and each two chunks whose sizes may link are one small task: no pair is ever a row.
+    through others, form a cluster, found by one edge for each entry. Of a cluster, documents whose sizes may
+    link lie in one range of sizes or in two neighbouring ones. Each is first held against its range's lead;
+    what is unlike it is searched for among all of its range and the neighbouring ones, and so are ranges whose
+    leads don't link. That is done in chunks by hash, each two of which are one small task: no pair is ever a
+    row, and a large group of near copies is linear work.
     """
-    lists, own = W.partitionBy("gram"), W.partitionBy("doc_id", "n")
-    index = search.withColumns({"df": F.count("*").over(lists)}).filter("df > 1").drop("df")
+    lists = search.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1").select("gram")
+    index = search.join(lists, "gram")
     if least is not None:  # too few shared entries for any partner: these go, and what they shared is counted anew
-        index = index.withColumn("have", F.count("*").over(own)).filter(F.col("have") >= least).drop("have")
-    edges = index.withColumn("first", F.min("doc_id").over(lists)).filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
+        enough = index.groupBy("doc_id", "n").agg(F.count("*").alias("have")).filter(F.col("have") >= least).select("doc_id")
+        index = index.join(few(cut(enough)), "doc_id", "left_semi")
+    firsts = index.groupBy("gram").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("gram", "first")
+    edges = index.join(firsts, "gram").filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
     roots = components(edges)
-    clusters = cut(roots.union(roots.select("root", "root").distinct()).toDF("doc_id", "cluster"))
-    sized = full.join(few(clusters), "doc_id").select("cluster", "doc_id", "n", "grams")
-    # places by size within a cluster, from narrow rows; then chunks and the partners that they may have
-    placed = full.select("doc_id", "n").join(few(clusters), "doc_id").withColumn("chunk", F.floor((F.row_number().over(W.partitionBy("cluster").orderBy("n", "doc_id")) - 1) / CHUNK).cast("int"))
-    chunks = cut(placed.groupBy("cluster", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high")))
-    x, y = chunks.alias("x"), chunks.alias("y")
-    pairs = cut(x.join(y, "cluster").filter(f"x.chunk <= y.chunk and 100 * x.high >= {percent} * y.low").select("cluster", F.col("x.chunk").alias("i"), F.col("y.chunk").alias("j")))
-    sides = pairs.select("cluster", "i", "j", F.lit(0).alias("side"), F.col("i").alias("chunk")).union(pairs.filter("i < j").select("cluster", "i", "j", F.lit(1), "j"))
-    dealt = sized.join(placed.select("doc_id", "chunk"), "doc_id").join(few(sides), ["cluster", "chunk"]).select("cluster", "i", "j", "side", "doc_id", "grams")
-    return cut(dealt.groupBy("cluster", "i", "j").applyInPandas(block(percent, least is not None), "a long, b long"))
+    clusters = few(cut(roots.union(roots.select("root", "root").distinct()).toDF("doc_id", "cluster")))
+
+    width = -math.log(percent / 100) * (1 + 1e-6) if percent < 100 else 1e-9  # so partners' ranges differ by one at most
+    placed = cut(full.select("doc_id", "n").join(clusters, "doc_id").select("doc_id", "cluster", F.floor(F.log("n") / width).cast("long").alias("at")))
+    ranges = cut(placed.groupBy("cluster", "at").agg(F.min("doc_id").alias("lead"), F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")))
+    side = ranges.select("cluster", (F.col("at") - 1).alias("at"), F.col("lead").alias("next"))
+    asked = placed.join(ranges, ["cluster", "at"]).filter("doc_id <> lead").select("doc_id", "lead").union(ranges.join(side, ["cluster", "at"]).select("next", "lead"))
+    grams = full.select("doc_id", "grams")
+    leads = ranges.select(F.col("lead").alias("doc_id")).distinct().join(grams, "doc_id").select(F.col("doc_id").alias("lead"), F.col("grams").alias("lead_grams"))
+    told = cut(asked.join(grams, "doc_id").join(leads, "lead").select("doc_id", "lead", "grams", "lead_grams").mapInArrow(against_leads(percent), "doc_id long, lead long, alike boolean"))
+    unlike = told.filter("NOT alike").select("doc_id", "lead")
+
+    # who asks which range: what is unlike its lead asks its own and the neighbouring ranges; a whole range asks the next lower one if their leads don't link
+    odd = placed.join(ranges.select("cluster", "at", "lead"), ["cluster", "at"]).join(unlike, ["doc_id", "lead"], "left_semi").select("doc_id", "cluster", F.explode(F.array(F.col("at") - 1, F.col("at"), F.col("at") + 1)).alias("at"))
+    apart = ranges.join(side, ["cluster", "at"]).join(unlike.select(F.col("doc_id").alias("next"), "lead"), ["next", "lead"], "left_semi").select("cluster", "at")
+    whole = placed.withColumn("at", F.col("at") - 1).join(apart, ["cluster", "at"]).select("doc_id", "cluster", "at")
+    asks = cut(odd.union(whole).distinct().join(ranges.select("cluster", "at", "chunks"), ["cluster", "at"]))
+    plan = cut(asks.groupBy("cluster", "at", "chunks").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("asking")))
+    mine = F.xxhash64("doc_id")
+    left = asks.join(plan.drop("chunks"), ["cluster", "at"]).select("cluster", "at", F.pmod(mine, F.col("asking")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"), F.lit(0).alias("side"), "doc_id")
+    right = placed.join(plan, ["cluster", "at"]).select("cluster", "at", F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("i"), F.pmod(mine, F.col("chunks")).cast("int").alias("j"), F.lit(1).alias("side"), "doc_id")
+    dealt = left.union(right).join(grams, "doc_id")
+    found = dealt.groupBy("cluster", "at", "i", "j").applyInPandas(block(percent, least is not None), "a long, b long")
+    return told.filter("alike").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).union(cut(found))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
