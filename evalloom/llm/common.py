@@ -44,7 +44,9 @@ def cut(df: DataFrame) -> DataFrame:
     evalloom.session does; else they stay until the folder is emptied.
     """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    df.sparkSession._jvm.System.gc()  # shuffle files go when the driver collects what refers to them, which a quiet driver seldom does
+    return out
 
 
 def few(df: DataFrame) -> DataFrame:
@@ -88,27 +90,43 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection that scatters 64-bit words (the splitmix64 finaliser)."""
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
-
-class WordHashes:
-    """64-bit hashes of words, kept for words that come again; forgets all when full."""
-
-    def __init__(self, most: int = 400_000) -> None:
-        import xxhash
-
-        self._of, self._most, self._hash = {}, most, xxhash.xxh3_64_intdigest
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self._of
-        if len(known) > self._most:
-            known.clear()
-        h = self._hash
-        for w in set(words) - known.keys():
-            known[w] = h(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * _M1
+        x = (x ^ (x >> np.uint64(27))) * _M2
+        return x ^ (x >> np.uint64(31))
+
+
+#: Bytes of texts that are hashed at once, about.
+HASHED_BYTES = 1 << 20
+_SPACE = np.isin(np.arange(256), np.r_[9:14, 32])
+_LETTER = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_LETTER[65:91] = _LETTER[97:123]  # A-Z as a-z
+_STEP = np.uint64(0xD1342543DE82EF97)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (runs of anything but ASCII white space, A-Z in lower case), and the number of words of each text."""
+    buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    space = _SPACE[buf]
+    first = np.flatnonzero(~space & np.r_[True, space[:-1]])
+    end = np.flatnonzero(space & np.r_[False, ~space[:-1]])
+    size = end - first
+    stops = np.cumsum([len(t) + 1 for t in texts])
+    counts = np.diff(np.r_[0, np.searchsorted(first, stops)])
+    out, lo = np.zeros(len(first), np.uint64), 0
+    power = np.ones(int(size.max(initial=0)), np.uint64)
+    with np.errstate(over="ignore"):
+        power[1:] = _STEP
+        power = np.cumprod(power, dtype=np.uint64)
+        while lo < len(first):
+            hi = max(lo + 1, int(np.searchsorted(end, first[lo] + HASHED_BYTES, "right")))
+            n = size[lo:hi]
+            at = np.r_[0, np.cumsum(n)]
+            within = np.arange(at[-1]) - np.repeat(at[:-1], n)
+            letters = buf[first[lo] : end[hi - 1]][~space[first[lo] : end[hi - 1]]]
+            out[lo:hi] = mix64(np.add.reduceat(_LETTER[letters] * power[within], at[:-1]) + n.astype(np.uint64))
+            lo = hi
+    return out, counts
 
 
 def rolled(h: np.ndarray, k: int) -> np.ndarray:
@@ -123,6 +141,14 @@ def rolled(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def gram_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
+    """Each text's set of runs of k words, as sorted hashes; its whole sequence where it has fewer words."""
+    h, counts = word_hashes(texts)
+    grams = rolled(h, k) if len(h) >= k else h[:0]
+    at = np.r_[0, np.cumsum(counts)].tolist()
+    return [np.unique(grams[lo : hi - k + 1]) if hi - lo >= k else rolled(h[lo:hi], k) for lo, hi in zip(at[:-1], at[1:], strict=True)]
+
+
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

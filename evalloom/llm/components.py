@@ -47,15 +47,30 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+#: Links that one task may fold at once (32 MB), if there are no more; a larger number takes rounds of many tasks.
+ONE_TASK = 2_000_000
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All links of a task as one forest: (node, root)."""
+    parts = [(x.column(0).to_numpy(zero_copy_only=False), x.column(1).to_numpy(zero_copy_only=False)) for x in batches]
+    if any(len(a) for a, _ in parts):
+        a, b = forest(np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts]))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["node", "root"])
+
+
+def components(links: DataFrame, most_rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
     """(node, root): of the links (a, b), each node but the roots, with its component's smallest node.
 
-    Tasks fold their own links first; then large-star and small-star steps alternate until nothing moves.
-    Nodes without a link, and links from a node to itself, give no row.
+    Tasks fold their own links first. What is left is folded in one task if it is small, which is counted;
+    else large-star and small-star steps alternate until it is or nothing moves. Nodes without a link, and
+    links from a node to itself, give no row.
     """
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
     edges = cut(edges.mapInArrow(_local, "a long, b long").distinct())
     for _ in range(most_rounds):
+        if edges.count() <= one_task:
+            return cut(edges.coalesce(1).mapInArrow(_whole, "node long, root long"))
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()

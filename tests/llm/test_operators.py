@@ -92,7 +92,21 @@ def test_exact_dedup_edges(spark, edge):
 
 def test_filters_never_miss():
     keys = np.random.default_rng(0).integers(0, 2**63, 5000).astype(np.uint64)
-    assert exact_dedup.maybe_in(exact_dedup.bloom(keys, 64_000), keys).all()
+    assert exact_dedup.maybe_in(exact_dedup.bloom(keys), keys).all()
+
+
+@pytest.mark.parametrize("fan", [2, 3, 8])
+def test_compaction_by_levels(fan):
+    """Runs of random digests, merged some at a time: smallest ids and counts as if counted at once."""
+    rng = np.random.default_rng(fan)
+    keys, ids = rng.integers(0, 400, 900).astype(np.uint64) * np.uint64(1 << 50), rng.permutation(900)
+    runs = []
+    for part in np.array_split(np.arange(900), 23):
+        w, i, c = exact_dedup.reduced(np.c_[keys[part], keys[part]], ids[part], np.ones(len(part), np.int64))
+        runs.append((w, i, c, exact_dedup.bloom(w[:, 0])))
+    w, i, c, _ = exact_dedup.compacted(runs, fan)
+    got = {int(k): (int(x), int(n)) for k, x, n in zip(w[:, 0], i, c, strict=True)}
+    assert len(got) == len(w) and got == {int(k): (int(ids[keys == k].min()), int((keys == k).sum())) for k in np.unique(keys)}
 
 
 # --- token ids and packing
@@ -114,6 +128,28 @@ def test_words_encode_as_whole_texts_do():
     assert got == [x.tolist() for x in encoded_whole(texts)]
 
 
+def test_other_vocabularies_are_encoded_whole(tmp_path):
+    import os
+
+    path = os.path.join(os.path.dirname(token_ids.public_vocabulary()), "byte_bpe_50k.json")
+    from tokenizers import Tokenizer
+
+    enc, tok = token_ids.WordEncoder(path), Tokenizer.from_file(path)
+    texts = ["It's  a Test\n of CASE and  spaces", "", "a" * 300]
+    assert not enc.by_word and token_ids.WordEncoder(token_ids.public_vocabulary()).by_word
+    assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode([t.encode() for t in texts])] == [tok.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+
+
+def test_wide_ids_are_read_as_written():
+    import zstandard
+
+    raw, ids = b"12345678", np.array([70_000, 1], "<u4")
+    frame = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(raw)).compress(ids.tobytes())
+    reader = token_ids.TokenReader(raw)
+    shard = {"dict_hash": reader.dict_hash, "width": 4, "offsets": np.array([0, len(frame)], "<i8").tobytes(), "payload": frame}
+    assert reader.read(shard, 0).tolist() == [70_000, 1]
+
+
 def test_token_shards_round_trip(spark, edge, tmp_path):
     token_ids.write_token_shards(edge, f"file://{tmp_path}/t", token_ids.public_vocabulary(), shard_docs=3)
     got = sorted(token_ids.read_token_shards(spark, f"file://{tmp_path}/t", with_ids=True).collect(), key=lambda r: r.start)
@@ -246,10 +282,11 @@ def test_jaccard_join_edges(spark, edge):
     assert jaccard_join.jaccard_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [components.ONE_TASK, 0])
+def test_components(spark, one_task):
     rng = random.Random(3)
     links = [(i, i + 1) for i in range(0, 90)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(500, 500)]
-    got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()}
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long").repartition(5), one_task=one_task).collect()}
     want = roots({x for p in links for x in p}, links)
     assert got == {k: v for k, v in want.items() if k != v}
 
@@ -393,7 +430,8 @@ def test_very_many_paragraphs_of_one_band(spark):
     rng = random.Random(12)
     old, substring_dedup.CHUNK = substring_dedup.CHUNK, 4
     try:
-        sets = [frozenset(rng.sample(range(24), 20)) for _ in range(40)]
+        pool = [int(x) for x in np.random.default_rng(1).integers(1, 2**62, 24)]
+        sets = [frozenset(rng.sample(pool, 20)) for _ in range(40)]
         shared = spark.createDataFrame([(b, i) for i in range(40) for b in (7, 8 + i % 2)], "band long, of long")
         inside = spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(sets)], "of long, grams array<long>")
         got = {(r.a, r.b) for r in substring_dedup.links_of(shared, inside, 80).collect()}
