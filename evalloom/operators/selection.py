@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evalloom.operators.relations import small
+
 
 def round_robin(df: DataFrame, group: str, score: str, key: str, pools: list[str] | None = None) -> DataFrame:
     """turn: a row's place when the groups of a pool take turns, each with its best row left.
@@ -25,8 +27,11 @@ def diverse_take(df: DataFrame, n: int, group: str, score: str, key: str) -> Dat
 
 
 def quota_take(df: DataFrame, quotas: DataFrame, pools: list[str], group: str, score: str, key: str) -> DataFrame:
-    """Of each pool as many turns as its quota (pools..., quota) says."""
-    return round_robin(df.join(F.broadcast(quotas), pools), group, score, key, pools).filter(F.col("turn") <= F.col("quota"))
+    """Of each pool as many turns as its quota (pools..., quota) says; of a group no more rows than that are ordered."""
+    best = W.partitionBy(*pools, group).orderBy(F.desc(score), F.asc(key))
+    order = W.partitionBy(*pools).orderBy("_cycle", F.desc(score), F.asc(group))
+    first = df.join(small(quotas), pools).withColumn("_cycle", F.row_number().over(best)).filter(F.col("_cycle") <= F.col("quota"))
+    return first.withColumn("turn", F.row_number().over(order)).drop("_cycle").filter(F.col("turn") <= F.col("quota"))
 
 
 def short_pools(taken: DataFrame, quotas: DataFrame, pools: list[str]) -> DataFrame:
@@ -36,7 +41,13 @@ def short_pools(taken: DataFrame, quotas: DataFrame, pools: list[str]) -> DataFr
 
 
 def hashed_order(df: DataFrame, seed: str, key: str, prefix: str) -> DataFrame:
-    """Rows numbered by the hash of seed and key: an order that looks random and never changes."""
-    mark = F.sha2(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")), 256)
-    n = F.row_number().over(W.orderBy(mark))
-    return df.withColumn("number", n).withColumn("numbered_id", F.concat(F.lit(f"{prefix}-"), F.lpad(F.col("number").cast("string"), 3, "0")))
+    """Rows numbered by the hash of seed and key: an order that looks random and never changes.
+
+    Rows are ordered within the 65,536 ranges of the hash's first digits, and each range starts after the rows of those before it.
+    """
+    rows = df.withColumn("_mark", F.sha2(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")), 256)).withColumn("_at", F.substring("_mark", 1, 4))
+    counts = rows.groupBy("_at").agg(F.count("*").alias("_n"))
+    before = counts.select("_at", (F.sum("_n").over(W.orderBy("_at").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
+    within = F.row_number().over(W.partitionBy("_at").orderBy("_mark"))
+    out = rows.join(F.broadcast(before), "_at").withColumn("number", F.col("_before") + within)  # 65,536 rows at most
+    return out.drop("_at", "_mark", "_before").withColumn("numbered_id", F.concat(F.lit(f"{prefix}-"), F.lpad(F.col("number").cast("string"), 3, "0")))
