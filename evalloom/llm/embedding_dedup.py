@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 from evalloom.llm.common import cut, sample_of, sliced, tables
 from evalloom.llm.components import components, forest
 
-#: Vectors that the codebooks are fitted on, at most, and those that the calibration takes.
-TRAIN_ROWS, CALIBRATION_ROWS = 20_000, 400
-#: Codewords of a half, at most; vectors that a cell is planned for.
-MOST_WORDS, CELL_ROWS = 256, 25
+#: Vectors that the codebooks are fitted on, at most (or WORD_ROWS for each codeword, if these are more), and those that the calibration takes.
+TRAIN_ROWS, WORD_ROWS, CALIBRATION_ROWS = 20_000, 16, 400
+#: Codewords of a half, at most; vectors that a cell is planned for. With 4,096 words a label has 16.8 million cells,
+#: so cells only grow beyond 400 million different vectors of a label.
+MOST_WORDS, CELL_ROWS = 4_096, 25
 #: Rows of a cell, or queries to it, in one task.
 CHUNK = 2_048
 RECALL = 0.985
@@ -36,7 +37,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)]
     for _ in range(rounds):
-        at = distances(x, c).argmin(axis=1)
+        at = nearest(x, c)
         n = np.bincount(at, minlength=len(c))
         total = np.zeros_like(c)
         np.add.at(total, at, x)
@@ -44,6 +45,10 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray
     return c
 
 
+def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.concatenate([distances(x[i : i + 4096], c).argmin(axis=1) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0, int)
+
+
 def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum(0, (x**2).sum(axis=1)[:, None] - 2 * x @ c.T + (c**2).sum(axis=1))
 
@@ -74,7 +79,7 @@ class MultiIndex:
         cells = self.cells(threshold * q + np.sqrt(max(0.0, 1 - threshold**2)) * off)
         a, b = self._parts(q)
         mine = a[np.arange(len(q)), cells // self.words] + b[np.arange(len(q)), cells % self.words]
-        ranks = [int(((x[:, None] + y[None]) < m).sum()) for x, y, m in zip(a, b, mine, strict=True)]
+        ranks = [int(np.searchsorted(np.sort(y), m - x, "left").sum()) for x, y, m in zip(a, b, mine, strict=True)]
         return int(np.quantile(ranks, recall, method="higher")) + 1 if ranks else 1
 
     def visited(self, x: np.ndarray) -> np.ndarray:
@@ -85,9 +90,9 @@ class MultiIndex:
         """
         a, b = self._parts(x)
         ra, rb = a.argsort(axis=1), b.argsort(axis=1)
-        i, j = np.meshgrid(np.arange(a.shape[1]), np.arange(b.shape[1]), indexing="ij")
-        near = (i + 1) * (j + 1) <= self.visits
-        i, j = i[near], j[near]
+        width = np.minimum(b.shape[1], self.visits // np.arange(1, min(a.shape[1], self.visits) + 1))
+        i = np.repeat(np.arange(len(width)), width)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(width) - width, width)
         total = np.take_along_axis(a, ra, 1)[:, i] + np.take_along_axis(b, rb, 1)[:, j]
         first = total.argsort(axis=1, kind="stable")[:, : self.visits]
         cells = ra[:, i] * self.words + rb[:, j]
@@ -95,7 +100,14 @@ class MultiIndex:
 
 
 def unit(blobs: list[bytes], dim: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(blobs), "<f4").reshape(len(blobs), dim).astype(float)
+    joined = b"".join(blobs)
+    x = np.frombuffer(joined, "<f4" if len(joined) == 4 * dim * len(blobs) else "<f8").reshape(len(blobs), dim).astype(float)
+    return normed(x)
+
+
+def normed(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; first brought near 1 by powers of two, which rounds nothing, so that squares stay in range."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -145,10 +157,11 @@ def near_embeddings(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
 
     Only vectors with equal, non-null labels and equal lengths are compared. A vector that is null, empty or
     zero, or holds null or non-finite components, links with nothing. Rows without an id are left out; rows
-    that repeat an id are one node. An empty table gives an empty result.
+    that repeat an id are one node. Vectors of floats are kept as such, any others as doubles. An empty table
+    gives an empty result.
     """
-    vec = F.col("vec")
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<float>").alias("vec")).filter("vec_id IS NOT NULL")
+    vec, kind = F.col("vec"), "array<float>" if dict(df.dtypes)[vec_col] == "array<float>" else "array<double>"
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vec_col).cast(kind).alias("vec")).filter("vec_id IS NOT NULL")
     sound = F.exists(vec, lambda v: v != 0) & F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     good = rows.filter("label IS NOT NULL AND vec IS NOT NULL AND size(vec) > 0").filter(sound)
     # a class of identical vectors goes by its smallest id; of an id's several vectors each is searched
@@ -158,8 +171,9 @@ def near_embeddings(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
         part = classes.filter(F.size("vec") == dim)
         labels = max(1, part.select("label").distinct().count())
         words = int(np.clip(round((n / labels / CELL_ROWS) ** 0.5), 2, MOST_WORDS))
-        sample = sample_of(part, train_rows, "rep").select("vec").limit(2 * train_rows).toArrow().column(0).combine_chunks().flatten().to_numpy().reshape(-1, dim).astype(float)
-        index = MultiIndex(sample / np.linalg.norm(sample, axis=1, keepdims=True), words, threshold, recall)
+        most = max(train_rows, WORD_ROWS * words)
+        sample = sample_of(part, most, "rep").select("vec").limit(2 * most).toArrow().column(0).combine_chunks().flatten().to_numpy().reshape(-1, dim).astype(float)
+        index = MultiIndex(normed(sample), words, threshold, recall)
         got = _searched(part, index, dim, threshold)
         found = got if found is None else found.union(got)
     if found is None:
@@ -173,9 +187,46 @@ def near_embeddings(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "vec_id").alias("component_id"), (F.coalesce("root", "vec_id") == F.col("vec_id")).alias("kept"))
 
 
+def measured_recall(df: DataFrame, links: DataFrame, threshold: float = 0.93, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", block: int = 2_000) -> tuple[int, int]:
+    """(links found, links there are) of the vectors whose id is divisible by `every`, against all vectors.
+
+    links: vec_id, n_links as near_embeddings gives them. The queries go out in blocks; each task compares what it
+    reads with a block and returns counts. Vectors that link with nothing by rule are left out on either side.
+    """
+    spark, vec = df.sparkSession, F.col("vec")
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<double>").alias("vec")).filter("vec_id IS NOT NULL AND label IS NOT NULL AND size(vec) > 0")
+    rows = rows.filter(F.exists(vec, lambda v: v != 0) & F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
+    asked = cut(rows.filter(F.col("vec_id") % every == 0).repartitionByRange("vec_id"))
+    ids = [r.vec_id for r in asked.select("vec_id").distinct().orderBy("vec_id").toLocalIterator()]
+    there = 0
+    for lo in range(0, len(ids), block):
+        part = asked.filter(F.col("vec_id").between(ids[lo], ids[min(len(ids), lo + block) - 1])).collect()
+        by: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        for key in {(r.label, len(r.vec)) for r in part}:
+            mine = [r for r in part if (r.label, len(r.vec)) == key]
+            by[key] = np.array([r.vec_id for r in mine]), normed(np.array([r.vec for r in mine], float))
+
+        def count(batches: Iterator[pa.RecordBatch], by: dict = by) -> Iterator[pa.RecordBatch]:
+            n = 0
+            for b in sliced(batches, 1024):
+                keys = [(la, len(v)) for la, v in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+                for key in set(keys) & by.keys():
+                    at = [i for i, k in enumerate(keys) if k == key]
+                    y = normed(np.array(b.column(2).take(pa.array(at)).to_pylist(), float))
+                    q, x = by[key]
+                    hit = x @ y.T >= threshold
+                    n += int((hit & (q[:, None] != b.column(0).to_numpy()[at])).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+        there += rows.mapInArrow(count, "n long").agg(F.sum("n")).head()[0] or 0
+    of = rows.select("vec_id").distinct()
+    found = spark.createDataFrame([], "n long").union(links.filter(F.col("vec_id") % every == 0).join(of, "vec_id", "left_semi").select("n_links")).agg(F.sum("n")).head()[0] or 0
+    return int(found), int(there)
+
+
 def _blob(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in sliced(batches, 4096):
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([np.asarray(v, "<f4").tobytes() for v in b.column(3).to_pylist()], pa.binary())], names=["vec_id", "label", "copies", "vec"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([np.asarray(v, "<f4" if b.column(3).type.value_type == pa.float32() else "<f8").tobytes() for v in b.column(3).to_pylist()], pa.binary())], names=["vec_id", "label", "copies", "vec"])
 
 
 def _searched(part: DataFrame, index: MultiIndex, dim: int, threshold: float) -> DataFrame:
