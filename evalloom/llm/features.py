@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from evalloom.llm.common import bytes_of, sliced
@@ -39,8 +41,13 @@ def matrix(texts: list[bytes]) -> np.ndarray:
     return out
 
 
+def flat(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    """All bytes of a column of binaries, one after another, as an array."""
+    return np.frombuffer(b"".join(x.as_buffer().to_pybytes() for c in column.chunks for x in c if x.is_valid), kind)
+
+
 class Sample:
-    """Sparse vectors of a bounded sample on the driver, with their labels."""
+    """Sparse vectors of a bounded sample on the driver, with their labels: two flat arrays, 6 bytes for each entry."""
 
     def __init__(self, df: DataFrame, label: str) -> None:
         """df: text and the label; the vectors are made on the executors."""
@@ -55,9 +62,10 @@ class Sample:
                     of.append(v[nz].astype("<f4").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.binary()), pa.array(of, pa.binary()), b.column(1)], names=["at", "of", "label"])
 
-        rows = df.select("text", df[label].cast("string").alias("label")).mapInArrow(make, "at binary, of binary, label string").toArrow()
+        rows = df.select("text", df[label].cast("string").alias("label")).mapInArrow(make, "at binary, of binary, label string").toArrow().combine_chunks()
         self.labels = rows.column("label").to_pylist()
-        self._at, self._of = rows.column("at").to_pylist(), rows.column("of").to_pylist()
+        self._at, self._of = (flat(rows.column(c), kind) for c, kind in (("at", "<u2"), ("of", "<f4")))
+        self._ends = np.r_[0, np.cumsum(pc.binary_length(rows.column("at")).to_numpy().astype(np.int64) // 2)] if rows.num_rows else np.zeros(1, np.int64)
 
     def __len__(self) -> int:
         return len(self.labels)
@@ -65,7 +73,8 @@ class Sample:
     def dense(self, which: np.ndarray) -> np.ndarray:
         out = np.zeros((len(which), SIZE), np.float32)
         for k, i in enumerate(which):
-            out[k, np.frombuffer(self._at[i], "<u2")] = np.frombuffer(self._of[i], "<f4")
+            at = slice(self._ends[i], self._ends[i + 1])
+            out[k, self._at[at]] = self._of[at]
         return out
 
 
@@ -79,7 +88,7 @@ def fit(sample: Sample, targets: np.ndarray, softmax: bool, epochs: int = 12, ra
     if not n or not k:
         return w, bias
     key = [r.tobytes() for r in targets]
-    of = {x: key.count(x) for x in set(key)}
+    of = Counter(key)
     weight = np.array([n / (len(of) * of[x]) for x in key], np.float32)
     m, v, mb, vb, step = np.zeros_like(w), np.zeros_like(w), np.zeros_like(bias), np.zeros_like(bias), 0
     rng = np.random.default_rng(seed)
