@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm.common import docs_of, tables
-from evalloom.llm.token_ids import encoded, public_vocabulary
+from evalloom.llm.common import docs_of, sliced, tables
+from evalloom.llm.token_ids import WordEncoder, encoded, public_vocabulary
 
 #: Of each sequence of the query.
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 2048, 64, 2048
@@ -138,18 +138,16 @@ def all_but_first(ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def pack(df: DataFrame, path: str, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, loss_of: Callable[[np.ndarray], np.ndarray] = all_but_first, with_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss (, ids).
+Example = tuple[int, np.ndarray, np.ndarray]  # id, token ids, loss flags
 
-    A null text is empty: its one piece is the end id. Rows without an id are left out; rows that repeat
-    an id are examples of their own. An empty table gives no piece. loss_of: flags of an example's
-    ids. sequence_id: the task's number times 2^33, plus a count.
-    """
+
+def _packed(examples: Callable[[Iterator[pa.RecordBatch]], Iterator[list[Example]]], limits: tuple[int, int, int], with_ids: bool):
+    """A function for mapInArrow: what examples() reads from the batches, packed; rows as pack() tells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        packer = Packer(max_tokens, max_segments, max_loss)
+        packer = Packer(*limits)
         sequence = TaskContext.get().partitionId() << 33
         held: dict[int, list] = {}  # example -> doc_id, ids, loss flags, tokens not yet placed
         rows: list[tuple] = []
@@ -177,17 +175,61 @@ def pack(df: DataFrame, path: str, max_tokens: int = MAX_TOKENS, max_segments: i
             return pa.RecordBatch.from_arrays(cols, names=names)
 
         ex = 0
-        for doc_ids, blobs, kind in encoded(batches, path):
-            for doc_id, blob in zip(doc_ids.tolist(), blobs, strict=True):
-                ids = np.frombuffer(blob, kind)
-                held[ex] = [doc_id, ids, loss_of(ids), len(ids)]
-                placed(packer.add(ex, held[ex][2]))
+        for some in examples(batches):
+            for doc_id, ids, loss in some:
+                held[ex] = [doc_id, ids, loss, len(ids)]
+                placed(packer.add(ex, loss))
                 ex += 1
             yield batch()
         placed(packer.finish())
         yield batch()
 
-    return docs_of(df).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss long" + ", ids array<int>" * with_ids)
+    return run
+
+
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss long"
+
+
+def pack(df: DataFrame, path: str, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, loss_of: Callable[[np.ndarray], np.ndarray] = all_but_first, with_ids: bool = False) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss (, ids).
+
+    A null text is empty: its one piece is the end id. Rows without an id are left out; rows that repeat
+    an id are examples of their own. An empty table gives no piece. loss_of: flags of an example's
+    ids. sequence_id: the task's number times 2^33, plus a count.
+    """
+
+    def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[list[Example]]:
+        for doc_ids, blobs, kind in encoded(batches, path):
+            yield [(i, ids, loss_of(ids)) for i, ids in zip(doc_ids.tolist(), (np.frombuffer(x, kind) for x in blobs), strict=True)]
+
+    return docs_of(df).mapInArrow(_packed(examples, (max_tokens, max_segments, max_loss), with_ids), PIECES + ", ids array<int>" * with_ids)
+
+
+#: Limits of the query over conversations; the tokens that an assistant says bear loss.
+CHAT_SEGMENTS, CHAT_LOSS = 16, 1024
+
+
+def pack_conversations(df: DataFrame, path: str, max_tokens: int = MAX_TOKENS, max_segments: int = CHAT_SEGMENTS, max_loss: int = CHAT_LOSS, speaks: str = "assistant", with_ids: bool = False) -> DataFrame:
+    """Instruction data: an example is a conversation (conv_id, turn, role, text), its turns one after another; rows as from pack.
+
+    The tokens of turns whose role is `speaks`, and the end id after such a turn, bear loss. A null text is
+    empty, a null role bears none; turns of equal number come by role and text. Rows without an id are left out.
+    """
+    said = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = df.filter("conv_id IS NOT NULL").groupBy(F.col("conv_id").cast("long").alias("doc_id")).agg(F.array_sort(F.collect_list(said)).alias("t"))
+    parts = turns.select("doc_id", F.transform("t", lambda t: t["role"] == speaks).alias("speaks"), F.transform("t", lambda t: t["text"]).alias("texts"))
+
+    def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[list[Example]]:
+        enc = WordEncoder(path)
+        for b in sliced(batches, 64):
+            out = []
+            for i, flags, texts in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                each = [np.frombuffer(x, enc.dtype) for x in enc.encode([t.encode() for t in texts])]
+                each = [x[:-1] for x in each[:-1]] + each[-1:]  # one end id, after the last turn
+                out.append((i, np.concatenate(each), np.repeat(np.array(flags, bool), [len(x) for x in each])))
+            yield out
+
+    return parts.mapInArrow(_packed(examples, (max_tokens, max_segments, max_loss), with_ids), PIECES + ", ids array<int>" * with_ids)
 
 
 def padding(pieces: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
@@ -199,3 +241,8 @@ def padding(pieces: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(tables(spark, sf_dir, "documents"), public_vocabulary()).drop("loss")
+
+
+def op5_packing_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations, under limits that bind: 16 segments and 1,024 tokens that bear loss a sequence."""
+    return pack_conversations(tables(spark, sf_dir, "conversations"), public_vocabulary())
