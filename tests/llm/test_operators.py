@@ -218,6 +218,26 @@ def test_pack_edges(spark, edge):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), token_ids.public_vocabulary()).count() == 0
 
 
+def test_pack_conversations(spark):
+    """Turns in order, loss on what the assistant says; all three limits hold and the last two bind."""
+    rng = random.Random(3)
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", words(rng, rng.randint(0, 60))) for c in range(60) for t in range(rng.randint(1, 9))]
+    rows += [(90, 0, None, "x y"), (90, 1, "assistant", None), (None, 0, "user", "gone"), (91, 0, "assistant", words(rng, 900))]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(3)
+    got = packing.pack_conversations(df, token_ids.public_vocabulary(), max_tokens=512, max_segments=3, max_loss=128, with_ids=True).collect()
+    want, whole = {}, dict(zip(texts := sorted({x or "" for *_, x in rows}), encoded_whole(texts), strict=True))
+    for c in {r[0] for r in rows if r[0] is not None}:
+        said = sorted((t, r or "", x or "") for i, t, r, x in rows if i == c)
+        ids = [whole[x][:-1] for _, _, x in said]
+        loss = np.concatenate([np.full(len(x), r == "assistant") for x, (_, r, _) in zip(ids, said, strict=True)] + [[said[-1][1] == "assistant"]])
+        want[c] = np.concatenate([*ids, [1]]), loss
+    for r in got:
+        ids, loss = want[r.doc_id]
+        assert r.ids == ids[r.start : r.start + r.length].tolist() and r.loss == loss[r.start : r.start + r.length].sum() and r.doc_tokens == len(ids)
+    seq = packed_well([(r.doc_id, r.start, r.length, r.loss, r.sequence_id) for r in got], {c: len(i) for c, (i, _) in want.items()}, (512, 3, 128))
+    assert any(len(s) == 3 for s in seq.values()) and any(sum(x for _, x in s) == 128 for s in seq.values())
+
+
 # --- n-gram Jaccard join
 
 
@@ -314,6 +334,9 @@ def test_embeddings_against_brute_force(spark):
     assert all(got[i].n_links <= true[i] for i in ids)
     assert sum(got[i].n_links for i in ids) >= 0.9 * sum(true.values())
     assert np.mean([got[i].component_id == want[i] for i in ids]) > 0.95
+    links = embedding_dedup.near_embeddings(df).select("vec_id", "n_links")
+    asked = [i for i in ids if i % 7 == 0]
+    assert embedding_dedup.measured_recall(df, links, every=7, block=11) == (sum(got[i].n_links for i in asked), sum(true[i] for i in asked))
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
@@ -326,6 +349,14 @@ def test_embeddings_edges(spark):
     assert embedding_dedup.near_embeddings(df.limit(0)).count() == 0
 
 
+def test_doubles_stay_doubles(spark):
+    """Beyond the range of floats, and closer to the threshold than floats can tell."""
+    c = 0.93
+    rows = [(1, [1e200, 0.0], 1), (2, [1e200 * c, 1e200 * (1 - c * c) ** 0.5 * (1 - 1e-12)], 1), (3, [1.0, 0.0], 2), (4, [c, (1 - c * c) ** 0.5 * (1 + 1e-9)], 2)]
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: 1, 2: 1, 3: 0, 4: 0}
+
+
 def test_multi_sequence_order_is_exact():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 8))
@@ -385,8 +416,8 @@ def test_unaligned_passages(spark):
     assert got == {(i, i - i % 2) for i in range(200)}
 
 
-@pytest.mark.parametrize("most", [512, 3])
-def test_passages_against_brute_force(spark, most):
+@pytest.mark.parametrize(("most", "wanted"), [(512, 1000), (3, 0)])
+def test_passages_against_brute_force(spark, most, wanted):
     """All pairs of paragraphs by exact Jaccard: near paragraphs differ by a word at their ends, others in the middle."""
     rng = random.Random(77)
     base = [words(rng, 80).split() for _ in range(6)]
@@ -405,7 +436,7 @@ def test_passages_against_brute_force(spark, most):
     for p, r in root.items():
         of[r].add(int(text[p]))
     want = {(int(text[p]), w, min(of[r])) for p, r in root.items() if len(of[r]) > 1 for w in range(at[p], at[p] + 24)}
-    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), most=most).collect()
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), most=most, wanted=wanted).collect()
     got = {(r.doc_id, w, r.cluster_doc_id) for r in found for w in range(r.first_word, r.first_word + r.n_words)}
     assert len({(p, q) for p, q in links if sets[p] != sets[q]}) > 100
     assert len({x[:2] for x in want} & {x[:2] for x in got}) >= 0.98 * len({x[:2] for x in want}) and len(want & got) >= 0.95 * len(want)
@@ -644,6 +675,24 @@ def test_fit_of_rates_is_least_squares(spark):
     assert (mixing.rates_after(p, steps, 1.0) >= 1).all()
 
 
+@pytest.mark.parametrize("floor", [0.0, 1.0])
+def test_targets_that_cannot_be_met(spark, floor):
+    """Bounds hold some rates: the sum of squares is that of a plain solver run to its end, and what is unmet is told."""
+    rng = np.random.default_rng(8)
+    p, n = rng.dirichlet([4.0] * 3, 150), rng.integers(1, 100, 150)
+    rows = [(i, int(a), b.tolist()) for i, (a, b) in enumerate(zip(n, p, strict=True))]
+    want = np.array([0.9, 0.08, 0.02]) * n.sum()
+    inverse = np.linalg.inv(p.T @ (p * n[:, None]))
+    value = lambda r: (r * n @ p - want) @ inverse @ (r * n @ p - want)
+    r = np.ones(150)
+    for _ in range(50_000):
+        r = np.maximum(floor, r - p @ (inverse @ (r * n @ p - want)))
+    steps, totals = mixing.fit_rates(spark.createDataFrame(rows, "doc_id long, tokens long, posterior array<double>").coalesce(1), 3, want, floor)
+    fitted = mixing.rates_after(p, steps, floor)
+    assert np.allclose(fitted * n @ p, totals) and (np.isclose(r, floor)).any() and value(r) > 1
+    assert value(fitted) <= 1.03 * value(r) and mixing.unmet(totals, want) > 0.01
+
+
 def test_mixing_edges(spark, edge, labelled):
     docs, labels, _ = labelled
     none = spark.createDataFrame([], "doc_id long, text string, domain string")
