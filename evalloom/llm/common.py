@@ -7,6 +7,7 @@ result and is left out of it.
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -69,7 +70,17 @@ def docs_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("doc_id IS NOT NULL")
 
 
+def trimmed() -> None:
+    """Gives memory that is free back to the system: workers live on between tasks, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    trimmed()
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
