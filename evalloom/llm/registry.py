@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evalloom.llm import embedding_dedup, exact_dedup, jaccard_join, language, licenses, mixing, packing, substring_dedup, token_ids, toxicity
+from evalloom.llm import embedding_dedup, exact_dedup, hard_negatives, importance, jaccard_join, language, licenses, mixing, packing, quality, substring_dedup, token_ids, toxicity
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
@@ -17,9 +17,14 @@ QUERIES = {
     "op8_license_windows": licenses.op8_license_windows,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_language": language.op10_language,
+    "op11_quality": quality.op11_quality,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_importance": importance.op13_importance,
 }
 
 SQL = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op8_licenses": licenses.OP8_SQL,
+    "op12_hard_negatives": hard_negatives.OP12_SQL,
+    "op13_importance": importance.OP13_SQL,
 }
