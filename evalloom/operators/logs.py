@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evalloom.operators.ranks import numbered
+
 
 def latest(log: DataFrame, keys: list[str], order: list[Column], ok: Column | None = None) -> DataFrame:
     """The last good row of each key. order names what is later (ascending) and must be total."""
@@ -52,7 +54,8 @@ def run_status(expected: DataFrame, results: DataFrame, key: str) -> DataFrame:
 
 
 def numbered_attempts(log: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    return log.withColumn("attempt", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    """attempt: a row's place among those of its key, whatever share of the log that has."""
+    return numbered(log, order, keys, "attempt")
 
 
 def migrated(rows: DataFrame, columns: dict[str, str]) -> DataFrame:

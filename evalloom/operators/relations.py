@@ -110,7 +110,8 @@ def design_grid(spark: SparkSession, labels: list[str], groups: list[str], cells
     n = len(groups)
     rows = spark.range(len(labels) * n * cells).select((F.col("id") + 1).alias("number"), F.floor(F.col("id") / (n * cells)).cast("int").alias("_label"), (F.floor(F.col("id") / cells) % n).cast("int").alias("_group"), (F.col("id") % cells).cast("int").alias("_cell"))
     quota = F.lit(development // n) + ((F.col("_group") - F.col("_label") + n * len(labels)) % n < development % n).cast("int")
-    case = F.concat(F.lit(f"{prefix}-"), F.lpad(F.col("number").cast("string"), 3, "0"))
+    digits = F.col("number").cast("string")
+    case = F.concat(F.lit(f"{prefix}-"), F.lpad(digits, F.greatest(F.length(digits), F.lit(3)), F.lit("0")))
     pick = lambda xs, i: F.get(F.array(*[F.lit(x) for x in xs]), F.col(i))
     return rows.select(case.alias("case_id"), case.alias("family_id"), F.when(F.col("_cell") < quota, "development").otherwise("train").alias("split"), pick(labels, "_label").alias("intended_label"), pick(groups, "_group").alias("presentation_group"), (F.col("number") + seed).alias("seed"))
 

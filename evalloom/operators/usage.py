@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalloom.operators.ranks import percentiles
+
 
 def number(c: Column | str) -> Column:
     """A double, or null where the text is none; NaN is null, too."""
@@ -19,14 +21,14 @@ def metadata_number(json: str, *paths: str) -> Column:
 
 
 def latency_percentiles(rows: DataFrame, keys: list[str], metrics: list[str], ok: Column | None = None) -> DataFrame:
-    """Exact linear percentiles per key and metric, with coverage; a metric nobody measured has a row of nulls.
+    """Exact linear percentiles per key (without nulls) and metric, with coverage; a metric nobody measured has a row of nulls.
 
-    Metrics are unpivoted inside one scan, so each value moves once.
+    Metrics are unpivoted inside one scan. A key may hold any share of the values: see ranks.percentiles.
     """
     good = F.lit(True) if ok is None else F.coalesce(ok, F.lit(False))
     long = rows.select(*keys, good.alias("_ok"), F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), number(m).alias("v")) for m in metrics])).alias("_m")).select(*keys, "_ok", "_m.*").withColumn("v", F.when(F.col("_ok"), F.col("v")))
-    p = F.percentile("v", F.array(*[F.lit(x) for x in (0.5, 0.9, 0.95, 0.99)]))
-    out = long.groupBy(*keys, "metric").agg(F.count("*").alias("n_total"), F.count_if("_ok").alias("n_success"), F.count("v").alias("n_measured"), F.avg("v").alias("mean_ms"), p.alias("_p"), F.min("v").alias("min_ms"), F.max("v").alias("max_ms"))
+    out = long.groupBy(*keys, "metric").agg(F.count("*").alias("n_total"), F.count_if("_ok").alias("n_success"), F.count("v").alias("n_measured"), F.avg("v").alias("mean_ms"), F.min("v").alias("min_ms"), F.max("v").alias("max_ms"))
+    out = out.join(percentiles(long, [*keys, "metric"], "v", (0.5, 0.9, 0.95, 0.99)).withColumnRenamed("percentiles", "_p"), [*keys, "metric"], "left")
     return out.select(*keys, "metric", "n_total", "n_success", "n_measured", F.try_divide(F.col("n_measured").cast("double"), F.col("n_success")).alias("coverage"), "mean_ms", *[F.get("_p", F.lit(i)).alias(f"p{q}_ms") for i, q in enumerate((50, 90, 95, 99))], "min_ms", "max_ms")
 
 
@@ -138,9 +140,11 @@ def finish_status(status: Column, reason: Column) -> Column:
 def provider_summary(attempts: DataFrame, model: str, ok: Column, tokens: list[str], cost: str, duration: str, ttft: str) -> DataFrame:
     """Per model: attempts, good and failed ones, and sums and exact percentiles over the good ones."""
     pick = lambda c: F.when(ok, number(c))
-    p = lambda c: F.percentile(pick(c), F.array(F.lit(0.5), F.lit(0.95)))
     good = F.count_if(ok)
-    out = attempts.groupBy(F.coalesce(model, F.lit("unknown")).alias("model")).agg(F.count("*").alias("attempts"), good.alias("successful_calls"), (F.count("*") - good).alias("failed_calls"), *[F.coalesce(F.sum(F.when(ok, F.col(c).try_cast("long"))), F.lit(0)).alias(c) for c in tokens], F.coalesce(F.sum(pick(cost)), F.lit(0.0)).alias(cost), F.avg(pick(duration)).alias("mean_ms"), p(duration).alias("_d"), F.count(pick(ttft)).alias("_n"), p(ttft).alias("_t"))
+    named = attempts.withColumn("_model", F.coalesce(model, F.lit("unknown")))
+    timed = named.select("_model", F.explode(F.array(F.struct(F.lit("_d").alias("m"), pick(duration).alias("v")), F.struct(F.lit("_t").alias("m"), pick(ttft).alias("v")))).alias("x")).select("_model", "x.*")
+    found = percentiles(timed, ["_model", "m"], "v", (0.5, 0.95)).groupBy(F.col("_model").alias("model")).pivot("m", ["_d", "_t"]).agg(F.first("percentiles"))  # one row a model and metric
+    out = named.groupBy(F.col("_model").alias("model")).agg(F.count("*").alias("attempts"), good.alias("successful_calls"), (F.count("*") - good).alias("failed_calls"), *[F.coalesce(F.sum(F.when(ok, F.col(c).try_cast("long"))), F.lit(0)).alias(c) for c in tokens], F.coalesce(F.sum(pick(cost)), F.lit(0.0)).alias(cost), F.avg(pick(duration)).alias("mean_ms"), F.count(pick(ttft)).alias("_n")).join(found, "model", "left")
     return out.select("model", "attempts", "successful_calls", "failed_calls", *tokens, cost, "mean_ms", F.get("_d", F.lit(0)).alias("p50_ms"), F.get("_d", F.lit(1)).alias("p95_ms"), (F.col("_n") > 0).alias("ttft_available"), F.get("_t", F.lit(0)).alias("ttft_p50_ms"), F.get("_t", F.lit(1)).alias("ttft_p95_ms"))
 
 

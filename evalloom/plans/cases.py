@@ -51,11 +51,11 @@ def task_grid(spark, d):
     return relations.task_grid(base(spark, d, "gold").select("case_id"), ["qa", "conv"], 3)
 
 
-DESIGN = (["A", "B", "C", "D"], ["g1", "g2", "g3", "g4", "g5"], 10, 7, "case", 1000)
-
-
 def design_grid(spark, d):
-    return relations.design_grid(spark, *DESIGN).withColumn("seed", F.col("seed").cast("long"))
+    """The stored priorities times the stored nations times nine cells, 30 of each priority for development."""
+    listed = lambda text: [r[0] for r in sql(spark, d, text).collect()]  # noqa: E731  two closed lists
+    labels, groups = listed("SELECT DISTINCT o_orderpriority FROM {orders} ORDER BY 1"), listed("SELECT DISTINCT n_name FROM {nation} ORDER BY 1")
+    return relations.design_grid(spark, labels, groups, 9, 30, "case", 1000).withColumn("seed", F.col("seed").cast("long"))
 
 
 def design_counts(spark, d):
@@ -190,7 +190,7 @@ def quota_take(spark, d):
 
 
 def hashed_order(spark, d):
-    cases = sql(spark, d, "SELECT c_custkey AS case_id FROM {customer} WHERE c_mktsegment = 'BUILDING'")
+    cases = sql(spark, d, "SELECT c_custkey AS case_id FROM {customer}")
     return selection.hashed_order(cases, "seed-1", "case_id", "set").select("case_id", "numbered_id")
 
 
@@ -269,6 +269,7 @@ _CLEAN = _STRIP.format(f"regexp_replace(regexp_replace({_STRIP.format('x')}, '^#
 _EDGE = r"[^\pL\pN\pM_]"  # this engine's \b knows ASCII alone
 _WORD = {p: f"(?:^|{_EDGE}){p[2:-2]}(?:$|{_EDGE})" for ps in SLOTS.values() for p in ps} | {SLOTS["timing"][0]: f"(?:^|{_EDGE})the(?:{_EDGE}|{_EDGE}.{{0,8}}{_EDGE})and(?:$|{_EDGE})"}
 _HITS = " UNION ALL ".join("SELECT *, '{}' AS slot FROM f WHERE {}".format(slot, " OR ".join(f"regexp_matches(frag, '(?i){_WORD[p]}')" for p in ps)) for slot, ps in SLOTS.items())
+DESIGN = "WITH l AS (SELECT o_orderpriority AS l, row_number() OVER (ORDER BY o_orderpriority) - 1 AS li FROM orders GROUP BY o_orderpriority), g AS (SELECT n_name AS g, row_number() OVER (ORDER BY n_name) - 1 AS gi, count(*) OVER () AS k FROM nation GROUP BY n_name), x AS (SELECT *, (gi - li + 5 * k) % k AS turn FROM l, g, range(9) c(c)), d AS (SELECT li * k * 9 + gi * 9 + c + 1 AS number, CASE WHEN c < 30 // k + CASE WHEN turn < 30 % k THEN 1 ELSE 0 END THEN 'development' ELSE 'train' END AS split, l AS intended_label, g AS presentation_group FROM x)"
 SQL = {
     "pending_antijoin": with_base(["samples", "gold"], "SELECT case_id, t AS task_type, CAST(s AS INT) AS sample_idx FROM gold CROSS JOIN (VALUES ('qa'), ('conv')) a(t) CROSS JOIN (VALUES (0), (1)) b(s) WHERE NOT EXISTS (SELECT 1 FROM samples x WHERE x.case_id = gold.case_id AND x.task_type = t AND x.sample_idx % 2 = s)"),
     "pending_judgments": "SELECT o_orderkey AS k FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus = o_orderstatus AND l_linenumber || '-URGENT' = o_orderpriority AND l_returnflag <> 'R')",
@@ -278,8 +279,8 @@ SQL = {
     "intersected": "SELECT o_custkey AS id FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 2000",
     "stale_rows": "WITH j AS (SELECT DISTINCT l_orderkey AS k, CASE WHEN l_linenumber < 6 THEN l_linestatus END AS h FROM lineitem), m AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderstatus END AS m FROM orders WHERE o_orderkey % 7 <> 0) SELECT j.k, h FROM j LEFT JOIN m ON j.k = m.k WHERE coalesce(h <> m, true)",
     "task_grid": with_base(["gold"], "SELECT case_id, t AS task_type, CAST(s AS INT) AS sample_idx FROM gold CROSS JOIN (VALUES ('qa'), ('conv')) a(t) CROSS JOIN (VALUES (0), (1), (2)) b(s)"),
-    "design_grid": "WITH g AS (SELECT l, gi, c, l * 50 + gi * 10 + c + 1 AS number FROM range(4) a(l), range(5) b(gi), range(10) x(c)) SELECT 'case-' || lpad(number::VARCHAR, 3, '0') AS case_id, 'case-' || lpad(number::VARCHAR, 3, '0') AS family_id, CASE WHEN c < 1 + CASE WHEN gi IN (l % 5, (l + 1) % 5) THEN 1 ELSE 0 END THEN 'development' ELSE 'train' END AS split, chr((65 + l)::INT) AS intended_label, 'g' || (gi + 1) AS presentation_group, number + 1000 AS seed FROM g",
-    "design_counts": "SELECT chr((65 + l)::INT) AS intended_label, s AS split, CASE s WHEN 'development' THEN 7 ELSE 43 END::BIGINT AS n FROM range(4) a(l) CROSS JOIN (VALUES ('development'), ('train')) b(s)",
+    "design_grid": f"{DESIGN} SELECT printf('case-%03d', number) AS case_id, printf('case-%03d', number) AS family_id, split, intended_label, presentation_group, number + 1000 AS seed FROM d",
+    "design_counts": f"{DESIGN} SELECT intended_label, split, count(*) AS n FROM d GROUP BY ALL",
     "dedupe_subset": "SELECT l_partkey, l_returnflag, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey, l_returnflag ORDER BY l_orderkey, l_linenumber, l_quantity, l_extendedprice) = 1",
     "duplicate_keys": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
     "union_by_name": "SELECT c_custkey AS id, c_acctbal AS balance, NULL::VARCHAR AS name FROM customer UNION ALL SELECT s_suppkey, NULL, s_name FROM supplier",
@@ -301,7 +302,7 @@ SQL = {
     "presentation_group": "WITH s AS (SELECT doc_id, " + ", ".join(f"{c} AS {g}" for g, c in COUNTS.items()) + " FROM documents) SELECT doc_id, CASE WHEN greatest(timing, place, cause) = 0 THEN 'general_other' WHEN cause = greatest(timing, place, cause) THEN 'cause' WHEN place = greatest(timing, place, cause) THEN 'place' ELSE 'timing' END AS presentation_group FROM s",
     "round_robin_take": "WITH r AS (SELECT o_orderkey AS case_id, o_orderpriority AS grp, CAST(floor(o_totalprice / 1000) AS INT) AS score FROM orders JOIN customer ON o_custkey = c_custkey), k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, case_id) AS n FROM r) SELECT case_id, grp, score FROM k ORDER BY n, score DESC, grp LIMIT 37",
     "quota_take": "WITH r AS (SELECT o_orderkey AS case_id, c_mktsegment AS pool, o_orderpriority AS grp, CAST(floor(o_totalprice / 1000) AS INT) AS score FROM orders JOIN customer ON o_custkey = c_custkey), k AS (SELECT *, row_number() OVER (PARTITION BY pool, grp ORDER BY score DESC, case_id) AS n FROM r), t AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY n, score DESC, grp) AS turn FROM k) SELECT pool, case_id, turn FROM t WHERE (pool = 'BUILDING' AND turn <= 12) OR (pool = 'MACHINERY' AND turn <= 7)",
-    "hashed_order": "WITH h AS (SELECT c_custkey AS case_id, row_number() OVER (ORDER BY sha256('seed-1|' || c_custkey)) AS n FROM customer WHERE c_mktsegment = 'BUILDING') SELECT case_id, 'set-' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 3, '0') ELSE substr(n::VARCHAR, 1, 3) END AS numbered_id FROM h",
+    "hashed_order": "WITH h AS (SELECT c_custkey AS case_id, row_number() OVER (ORDER BY sha256('seed-1|' || c_custkey)) AS n FROM customer) SELECT case_id, printf('set-%03d', n) AS numbered_id FROM h",
     "trace_replay": STEPS + "SELECT case_id, terminal_action, predicted, questions_asked, unique_questions_asked, round(required_recall, 6) AS required_recall, red_flag_recall, exact, undertriage, handed_off FROM oo",
     "trace_summary": STEPS + "SELECT count(*) AS trace_count, count(*) FILTER (NOT handed_off) AS disposed_count, count(*) FILTER (handed_off) AS handoff_count, round(count(*) FILTER (exact) / count(*), 6) AS overall_correct_disposition_rate, round(count(*) FILTER (exact) / count(*) FILTER (NOT handed_off), 6) AS autonomous_exact_accuracy, round(count(*) FILTER (handed_off) / count(*), 6) AS handoff_rate, round(count(*) FILTER (undertriage) / count(*) FILTER (NOT handed_off), 6) AS undertriage_rate, round(count(*) FILTER (undertriage) / count(*) FILTER (NOT handed_off), 6) AS unsafe_disposition_rate, round(count(*) FILTER (undertriage) / count(*), 6) AS overall_undertriage_action_rate, round(count(*) FILTER (undertriage) / count(*), 6) AS overall_unsafe_action_rate, round(avg(questions_asked), 6) AS mean_questions_asked, round(avg(required_recall), 6) AS mean_required_question_recall, round(avg(red_flag_recall), 6) AS mean_red_flag_question_recall FROM oo",
     "trace_errors": STEPS + ", er AS (SELECT case_id, 'action_after_terminal' AS error FROM st WHERE after_end UNION SELECT case_id, 'question_limit_exceeded' FROM st WHERE qn > 4 UNION SELECT case_id, 'unknown_question' FROM st WHERE type = 'ASK' AND question_id NOT IN ('q0', 'q1', 'q2', 'q3', 'q4', 'q5') UNION SELECT case_id, 'no_terminal_action' FROM e WHERE stop IS NULL) SELECT error, count(DISTINCT case_id) AS cases FROM er WHERE case_id IN (SELECT case_id FROM cards) GROUP BY error",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -27,6 +27,13 @@ def session(master: str | None = None, app: str = "evalloom", **conf: str) -> Sp
     return builder.config(map=SETTINGS | conf).getOrCreate()
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df computed once: written to the folder of spark.checkpoint.dir and read from there, until that is emptied."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder of spark.checkpoint.dir; where it is unset, in one of our own, on a single machine only."""
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
