@@ -46,15 +46,9 @@ def object_text(s: pd.Series) -> pd.Series:
     return s.map(first_object)
 
 
-def ratio(a: str | None, b: str | None, least: float = 0.0) -> float:
-    """difflib's ratio of a to b; 0 where its upper bounds already stay under least."""
-    a, b = a or "", b or ""
-    if not a and not b:
-        return 1.0
-    if 2 * min(len(a), len(b)) < least * (len(a) + len(b)):
-        return 0.0
-    m = SequenceMatcher(None, a, b)
-    return m.ratio() if least <= 0 or m.quick_ratio() >= least else 0.0
+def ratio(a: str | None, b: str | None) -> float:
+    """difflib's ratio of a to b; a null is empty. Screens score by functions.alike, which stops early."""
+    return SequenceMatcher(None, a or "", b or "").ratio()
 
 
 @F.pandas_udf(DoubleType())
@@ -62,16 +56,6 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-def sequence_ratio_from(least: float) -> Callable:
-    """sequence_ratio, with 0 for pairs that can't reach least."""
-
-    @F.pandas_udf(DoubleType())
-    def bounded(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([ratio(x, y, least) for x, y in zip(a, b, strict=True)], dtype=float)
-
-    return bounded
-
-
 @F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
