@@ -73,8 +73,10 @@ def _summed(of: DataFrame, k: int, what) -> np.ndarray:
         if not np.isscalar(total):
             yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["v"])
 
-    rows = of.mapInArrow(run, "v array<double>").select(F.posexplode("v")).groupBy("pos").agg(F.sum("col").alias("v")).orderBy("pos").collect()
-    return np.array([r.v for r in rows])
+    # a pass has a task a core: with one for each stored partition, the shuffle files of hundreds of passes add up
+    each = of.coalesce(max(1, of.sparkSession.sparkContext.defaultParallelism)).mapInArrow(run, "v array<double>")
+    rows = each.select(F.posexplode("v")).groupBy("pos").agg(F.sum("col").alias("v")).collect()  # a number for each entry of the vector
+    return np.array([r.v for r in sorted(rows, key=lambda r: r.pos)])
 
 
 def fit_rates(of: DataFrame, k: int, targets: np.ndarray, floor: float = 0.0, close: float = CLOSE, still: float = STILL) -> tuple[list[Step], np.ndarray]:
