@@ -56,12 +56,12 @@ def usable_texts(spark, d):
 
 def numbered_ids(spark, d):
     rows = sql(spark, d, "SELECT item_id, text FROM {benchmark}")
-    return rows.select("item_id", T.numbered_id(F.concat(F.lit(" "), F.substring("text", 1, 20), F.lit("\n"), F.lit("x ")), F.col("item_id")).alias("source_id"))
+    return rows.select("item_id", T.numbered_id(F.concat(F.lit(" "), F.col("text"), F.lit("\n"), F.lit("x ")), F.col("item_id")).alias("source_id"))
 
 
 DIRECT = "SELECT o_orderkey AS ordinal, 'orders' AS dataset, CAST(o_orderkey AS STRING) AS source_id, o_orderpriority AS text, CASE o_orderstatus WHEN 'F' THEN 'D' WHEN 'O' THEN 'A' END AS normalized_label, 'direct' AS mapping_method FROM {orders}"
 SURVEYED = "SELECT l_orderkey AS ordinal, 'lines' AS dataset, CAST(l_orderkey AS STRING) AS source_id, CASE WHEN l_quantity > 10 THEN 'B' END AS normalized_label, CASE WHEN l_quantity > 30 THEN 'median' ELSE 'excluded_disagreement' END AS mapping_method FROM {lineitem} WHERE l_linenumber = 1"
-RAW = "SELECT 'lines' AS dataset, CAST(o_orderkey AS STRING) AS source_id, o_orderpriority AS text FROM {orders} WHERE o_orderkey % 4 <> 0"
+RAW = "SELECT 'lines' AS dataset, CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_orderkey AS STRING) END AS source_id, o_orderpriority AS text FROM {orders}"
 
 
 def assembled_benchmark(spark, d):
@@ -121,7 +121,7 @@ def bundle_counts(spark, d):
 
 def card_drift(spark, d):
     seen = sql(spark, d, "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'x' ELSE o_orderstatus END AS label, o_orderpriority AS text FROM {orders}")
-    rows = sql(spark, d, "SELECT o_orderkey AS k, o_orderstatus AS normalized_label, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END AS normalized_text FROM {orders} WHERE o_orderkey % 11 <> 0")
+    rows = sql(spark, d, "SELECT CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey END AS k, o_orderstatus AS normalized_label, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END AS normalized_text FROM {orders}")
     return benchmark.drift(seen, rows, ["k"], {"label": "normalized_label", "text": "normalized_text"})
 
 
@@ -208,9 +208,9 @@ def judged_samples(spark, d):
 def accepted_candidates(spark, d):
     q = lambda text: sql(spark, d, text)
     requests = q("SELECT o_orderkey AS case_id, o_orderstatus AS intended_label, o_orderpriority AS presentation_group FROM {orders}")
-    made = q("SELECT o_orderkey AS case_id, CASE WHEN o_orderkey % 7 = 0 THEN 'Z' ELSE o_orderstatus END AS gen_label, CASE WHEN o_orderkey % 11 = 0 THEN 'none' ELSE o_orderpriority END AS gen_group FROM {orders} WHERE o_orderkey % 5 <> 0")
+    made = q("SELECT CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey END AS case_id, CASE WHEN o_orderkey % 7 = 0 THEN 'Z' ELSE o_orderstatus END AS gen_label, CASE WHEN o_orderkey % 11 = 0 THEN 'none' ELSE o_orderpriority END AS gen_group FROM {orders}")
     labels = q("SELECT l_orderkey AS case_id, l_linestatus AS label, l_linenumber = 2 AND l_orderkey % 3 = 0 AS ambiguous FROM {lineitem} WHERE l_linenumber <= 2")
-    blocked = q("SELECT o_orderkey AS case_id FROM {orders} WHERE o_orderkey % 13 = 0").withColumn("reasons", F.array(F.lit("exact_benchmark_match")))
+    blocked = q("SELECT CASE WHEN o_orderkey % 13 = 0 THEN o_orderkey END AS case_id FROM {orders}").withColumn("reasons", F.array(F.lit("exact_benchmark_match")))
     out = screen.acceptance(requests, made, labels, blocked, 2)
     return out.select("case_id", "accepted", F.array_join("reasons", ",").alias("reasons"))
 
@@ -387,7 +387,7 @@ SQL = {
     "category_router": f"SELECT doc_id, coalesce(category, 'late') AS category, CASE WHEN category = 'emergent' THEN 'D' WHEN category IS NULL OR category = 'unheard-of' THEN 'unexpected' END AS mapped_label FROM ({_TAG}) t WHERE theme = 'theme:emergency_referrals'",
     "first_variant": f"SELECT gold_triage, CASE WHEN gold_triage <> 'E' THEN replace(gold_triage, '/', '|') END AS normalized_label, contains(gold_triage, '/') AS is_edge_case, count(*) AS n FROM ({plain(VARIANTS)}) t WHERE variant_num = 1 GROUP BY ALL",
     "usable_texts": "SELECT doc_id, coalesce(length(text) BETWEEN 120 AND 4000 AND NOT (" + " OR ".join(f"regexp_matches(text, '{p}')" for p in EXCLUDED) + "), false) AS usable FROM documents",
-    "numbered_ids": f"SELECT item_id, {_stripped("' ' || replace(substr(text, 1, 20) || chr(10) || 'x ', chr(10), ' ')")} || '_' || item_id AS source_id FROM benchmark",
+    "numbered_ids": f"SELECT item_id, {_stripped("' ' || replace(text || chr(10) || 'x ', chr(10), ' ')")} || '_' || item_id AS source_id FROM benchmark",
     "assembled_benchmark": f"WITH d AS ({plain(DIRECT).replace('AS STRING', 'AS VARCHAR')}), s AS ({plain(SURVEYED).replace('AS STRING', 'AS VARCHAR')}), r AS ({plain(RAW).replace('AS STRING', 'AS VARCHAR')}), a AS (SELECT dataset, source_id, text, normalized_label, mapping_method, 0 AS block, ordinal FROM d UNION ALL SELECT dataset, source_id, text, normalized_label, mapping_method, 1, ordinal FROM s JOIN r USING (dataset, source_id)) SELECT dataset, source_id, text, normalized_label, mapping_method, CASE WHEN mapping_method IN ('direct', 'median') THEN 'primary' ELSE 'ambiguous' END AS split, CAST(block AS BIGINT) AS block, ordinal FROM a WHERE normalized_label IS NOT NULL UNION ALL SELECT dataset, source_id, '', normalized_label, 'lost', 'none', -1, ordinal FROM s WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.source_id = s.source_id)",
     "prompt_pair": "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN NULL ELSE 'user' END AS role, CASE WHEN p_size % 2 = 0 THEN NULL ELSE p_name END AS content, 'Note: ' || CASE WHEN p_size % 2 = 0 THEN 'a chat' ELSE '' END || '|' || p_name || '|end' AS qa_prompt FROM part",
     "judge_prompt": "SELECT p_partkey, 'A ' || CASE WHEN p_partkey % 2 = 0 THEN p_name || p_type ELSE '' END || ' B ' || p_type AS prompt FROM part",

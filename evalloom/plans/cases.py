@@ -43,7 +43,7 @@ def intersected(spark, d):
 
 def stale_rows(spark, d):
     judged = sql(spark, d, "SELECT DISTINCT l_orderkey AS k, CASE WHEN l_linenumber < 6 THEN l_linestatus END AS h FROM {lineitem}")
-    made = sql(spark, d, "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderstatus END AS m FROM {orders} WHERE o_orderkey % 7 <> 0")
+    made = sql(spark, d, "SELECT CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey END AS k, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderstatus END AS m FROM {orders}")
     return relations.stale(judged, made, ["k"], "h", "m")
 
 
@@ -241,7 +241,7 @@ def cost_scenario(spark, d):
 
 def edit_override(spark, d):
     texts = sql(spark, d, "SELECT p_partkey AS source_id, p_name AS text FROM {part}")
-    edits = sql(spark, d, "SELECT p_partkey AS source_id, CASE WHEN p_size % 2 = 0 THEN 'TRUE' ELSE 'FALSE' END AS is_edited, CASE WHEN p_size % 3 = 0 THEN ' ' ELSE p_type END AS edited_text FROM {part} WHERE p_partkey % 2 = 0")
+    edits = sql(spark, d, "SELECT CASE WHEN p_partkey % 2 = 0 THEN p_partkey END AS source_id, CASE WHEN p_size % 2 = 0 THEN 'TRUE' ELSE 'FALSE' END AS is_edited, CASE WHEN p_size % 3 = 0 THEN ' ' ELSE p_type END AS edited_text FROM {part}")
     return benchmark.edited(texts, edits, "source_id", "text")
 
 
@@ -277,7 +277,7 @@ SQL = {
     "mandatory_join_violations": "SELECT l_suppkey AS s_suppkey, count(*) AS lost FROM lineitem WHERE l_linenumber = 1 AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY l_suppkey",
     "symmetric_difference": "WITH a AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderstatus = 'P'), b AS (SELECT DISTINCT c_custkey AS id FROM customer WHERE c_acctbal > 2000) SELECT id, 'missing' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT id, 'extra' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)",
     "intersected": "SELECT o_custkey AS id FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 2000",
-    "stale_rows": "WITH j AS (SELECT DISTINCT l_orderkey AS k, CASE WHEN l_linenumber < 6 THEN l_linestatus END AS h FROM lineitem), m AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderstatus END AS m FROM orders WHERE o_orderkey % 7 <> 0) SELECT j.k, h FROM j LEFT JOIN m ON j.k = m.k WHERE coalesce(h <> m, true)",
+    "stale_rows": "WITH j AS (SELECT DISTINCT l_orderkey AS k, CASE WHEN l_linenumber < 6 THEN l_linestatus END AS h FROM lineitem), m AS (SELECT CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey END AS k, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderstatus END AS m FROM orders) SELECT j.k, h FROM j LEFT JOIN m ON j.k = m.k WHERE coalesce(h <> m, true)",
     "task_grid": with_base(["gold"], "SELECT case_id, t AS task_type, CAST(s AS INT) AS sample_idx FROM gold CROSS JOIN (VALUES ('qa'), ('conv')) a(t) CROSS JOIN (VALUES (0), (1), (2)) b(s)"),
     "design_grid": f"{DESIGN} SELECT printf('case-%03d', number) AS case_id, printf('case-%03d', number) AS family_id, split, intended_label, presentation_group, number + 1000 AS seed FROM d",
     "design_counts": f"{DESIGN} SELECT intended_label, split, count(*) AS n FROM d GROUP BY ALL",

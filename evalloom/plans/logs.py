@@ -26,7 +26,7 @@ def executions(spark, d):
 
 
 def execution_summary(spark, d):
-    some = base(spark, d, "attempts").filter("execution_id % 7 <> 0")
+    some = base(spark, d, "attempts").withColumn("execution_id", F.when(F.col("execution_id") % 7 != 0, F.col("execution_id")))  # a seventh has no execution on record
     out = usage.execution_summary(executions(spark, d), some)
     return out.select("execution_id", r6("elapsed_seconds").alias("elapsed_seconds"), r6("persisted_requests_per_second").alias("persisted_requests_per_second"), "requests_observed", "attempts_total", "retry_attempts", "terminal_error_attempts", r6("attempts_per_request").alias("attempts_per_request"))
 
@@ -130,7 +130,7 @@ PCT = ", ".join(_P.format(q=q, n=n) for q, n in ((0.5, 50), (0.9, 90), (0.95, 95
 EXEC = "x AS (SELECT execution_id, min(ts) AS s, max(ts) AS e, count(*) FILTER (outcome = 'success') AS ok, count(*) FILTER (outcome = 'terminal_error') AS bad FROM attempts GROUP BY execution_id)"
 SQL = {
     "latency_percentiles": with_base(["attempts"], f", l AS (SELECT phase, 'request_wall_ms' AS metric, outcome, request_wall_ms AS x FROM attempts UNION ALL SELECT phase, 'server_ms', outcome, try_cast(json_extract_string(props, '$.k') AS DOUBLE) FROM attempts UNION ALL SELECT phase, 'ttft_ms', outcome, NULL FROM attempts), k AS (SELECT phase, metric, outcome, CASE WHEN outcome = 'success' THEN x END AS v FROM l) SELECT phase, metric, count(*) AS n_total, count(*) FILTER (outcome = 'success') AS n_success, count(v) AS n_measured, round(count(v) / nullif(count(*) FILTER (outcome = 'success'), 0), 6) AS coverage, round(avg(v), 6) AS mean_ms, {PCT}, round(min(v), 6) AS min_ms, round(max(v), 6) AS max_ms FROM k GROUP BY ALL"),
-    "execution_summary": with_base(["attempts"], f", {EXEC}, t AS (SELECT execution_id, count(DISTINCT request_key) AS rq, count(*) AS n, count(*) FILTER (attempt_index > 1) AS re, count(*) FILTER (outcome = 'terminal_error') AS te FROM attempts WHERE execution_id % 7 <> 0 GROUP BY execution_id), u AS (SELECT x.execution_id, (epoch_us(e) - epoch_us(s)) / 1e6 AS sec, ok, bad, coalesce(rq, 0) AS rq, coalesce(n, 0) AS n, coalesce(re, 0) AS re, coalesce(te, 0) AS te FROM x LEFT JOIN t USING (execution_id)) SELECT execution_id, round(sec, 6) AS elapsed_seconds, CASE WHEN sec > 0 THEN round((ok + bad) / sec, 6) END AS persisted_requests_per_second, rq AS requests_observed, n AS attempts_total, re AS retry_attempts, te AS terminal_error_attempts, round(n / nullif(rq, 0), 6) AS attempts_per_request FROM u"),
+    "execution_summary": with_base(["attempts"], f", {EXEC}, t AS (SELECT execution_id, count(DISTINCT request_key) AS rq, count(*) AS n, count(*) FILTER (attempt_index > 1) AS re, count(*) FILTER (outcome = 'terminal_error') AS te FROM (SELECT * REPLACE (CASE WHEN execution_id % 7 <> 0 THEN execution_id END AS execution_id) FROM attempts) GROUP BY execution_id), u AS (SELECT x.execution_id, (epoch_us(e) - epoch_us(s)) / 1e6 AS sec, ok, bad, coalesce(rq, 0) AS rq, coalesce(n, 0) AS n, coalesce(re, 0) AS re, coalesce(te, 0) AS te FROM x LEFT JOIN t USING (execution_id)) SELECT execution_id, round(sec, 6) AS elapsed_seconds, CASE WHEN sec > 0 THEN round((ok + bad) / sec, 6) END AS persisted_requests_per_second, rq AS requests_observed, n AS attempts_total, re AS retry_attempts, te AS terminal_error_attempts, round(n / nullif(rq, 0), 6) AS attempts_per_request FROM u"),
     "usage_cost": f"WITH a AS ({TOKENS.format(events='events')}), p AS ({PARENTS.format(orders='orders')}), " + """u AS (SELECT phase, input_tokens, cached_input_tokens, output_tokens, reasoning_tokens, 1 AS t, (finish_reason IS NOT NULL OR response_id IS NOT NULL OR first_event_ms IS NOT NULL OR coalesce(http_status BETWEEN 200 AND 299, false) OR coalesce(outcome IN ('success', 'retry_length'), false)) AS w FROM a
 UNION ALL SELECT phase, input_tokens, cached_input_tokens, output_tokens, reasoning_tokens, 0, (status = 'ok' OR finish_reason IS NOT NULL) FROM p WHERE latest_execution_id NOT IN (SELECT execution_id FROM a)),
 g AS (SELECT phase, CAST(sum(t) AS BIGINT) AS attempts_tracked, CAST(sum(1 - t) AS BIGINT) AS legacy_parent_records, count(*) FILTER (w) AS usage_records_expected, count(*) FILTER (w AND input_tokens IS NOT NULL AND output_tokens IS NOT NULL AND cached_input_tokens IS NOT NULL) AS usage_records_complete, count(*) FILTER (w AND input_tokens IS NOT NULL AND output_tokens IS NOT NULL) AS b, count(*) FILTER (w AND cached_input_tokens IS NOT NULL) AS c, count(*) FILTER (w AND reasoning_tokens IS NOT NULL) AS r, CAST(sum(coalesce(input_tokens, 0)) AS BIGINT) AS input_tokens, CAST(sum(coalesce(cached_input_tokens, 0)) AS BIGINT) AS cached_input_tokens, CAST(sum(coalesce(output_tokens, 0)) AS BIGINT) AS output_tokens, CAST(sum(coalesce(reasoning_tokens, 0)) AS BIGINT) AS reasoning_tokens_observed FROM u GROUP BY phase)
