@@ -243,6 +243,6 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(tables(spark, sf_dir, "documents"), public_vocabulary()).drop("loss")
 
 
-def op5_packing_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def packed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations, under limits that bind: 16 segments and 1,024 tokens that bear loss a sequence."""
     return pack_conversations(tables(spark, sf_dir, "conversations"), public_vocabulary())

@@ -10,7 +10,7 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_token_ids": token_ids.op4_token_ids,
     "op5_packing": packing.op5_packing,
-    "op5_packing_conversations": packing.op5_packing_conversations,
+    "packed_conversations": packing.packed_conversations,
     "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_licenses": licenses.op8_licenses,
