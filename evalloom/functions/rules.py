@@ -46,9 +46,11 @@ def object_text(s: pd.Series) -> pd.Series:
     return s.map(first_object)
 
 
-def ratio(a: str | None, b: str | None) -> float:
-    """difflib's ratio of a to b; a null is empty. Screens score by functions.alike, which stops early."""
-    return SequenceMatcher(None, a or "", b or "").ratio()
+def ratio(a: str | None, b: str | None, least: float = 0.0) -> float:
+    """difflib's ratio of a to b, a null being empty; 0 where it can't reach least. Screens score by functions.alike, too."""
+    a, b = a or "", b or ""
+    m = SequenceMatcher(None, a, b)
+    return m.ratio() if least <= 0 or m.quick_ratio() >= least else 0.0
 
 
 @F.pandas_udf(DoubleType())
