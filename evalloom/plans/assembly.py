@@ -99,8 +99,8 @@ def panel_votes(spark, d):
 def panel_audit(spark, d):
     """Rows released as three removals: where the votes say otherwise, the audit tells."""
     rows = panel_votes(spark, d).withColumns({"raters": F.array(F.lit("r1"), F.when(F.col("case_id") % 5 == 0, "r1").otherwise("r2"), F.when(F.col("case_id") % 7 != 0, "r3")), "remove_votes": F.when(F.col("case_id") % 3 == 0, 3).otherwise(F.size(F.filter("votes", lambda v: v == "Remove"))), "mapping_method": F.lit("excluded_review"), "normalized_label": F.lit(None).cast("string")})
-    rows = rows.withColumn("avg_sd", benchmark.panel("votes")["avg_distance"])
-    return benchmark.audit_panel(rows, "votes", "raters", "case_id").filter("problem IN ('incomplete_panel', 'repeated_rater', 'remove_votes_differ', 'routing_differs')")
+    rows = rows.withColumn("avg_sd", benchmark.panel("votes")["avg_distance"] + F.when(F.col("case_id") % 4 == 0, 0.5).otherwise(0.0))
+    return benchmark.audit_panel(rows, "votes", "raters", "case_id")
 
 
 def rater_names(spark, d):
@@ -392,7 +392,7 @@ SQL = {
     "prompt_pair": "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN NULL ELSE 'user' END AS role, CASE WHEN p_size % 2 = 0 THEN NULL ELSE p_name END AS content, 'Note: ' || CASE WHEN p_size % 2 = 0 THEN 'a chat' ELSE '' END || '|' || p_name || '|end' AS qa_prompt FROM part",
     "judge_prompt": "SELECT p_partkey, 'A ' || CASE WHEN p_partkey % 2 = 0 THEN p_name || p_type ELSE '' END || ' B ' || p_type AS prompt FROM part",
     "label_bases": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'released_five_physician_panel_median' WHEN c_custkey % 2 = 0 THEN 'healthbench_physician_agreed_emergent_category' ELSE 'released_direct_source_mapping' END AS basis, CASE c_nationkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'A' WHEN 2 THEN 'AB' ELSE 'ABC' END AS unsafe FROM customer",
-    "panel_audit": with_base(["votes"], ", p AS (SELECT case_id, list(vote) FILTER (slot <= 3) AS v FROM votes GROUP BY case_id HAVING count(*) FILTER (slot <= 3) = 3), q AS (SELECT case_id, len(list_filter(v, lambda x: x = 'Remove')) AS r FROM p) SELECT case_id, 'incomplete_panel' AS problem FROM q WHERE case_id % 7 = 0 UNION ALL SELECT case_id, 'repeated_rater' FROM q WHERE case_id % 5 = 0 UNION ALL SELECT case_id, 'remove_votes_differ' FROM q WHERE case_id % 3 = 0 AND r <> 3 UNION ALL SELECT case_id, 'routing_differs' FROM q WHERE r < 3"),
+    "panel_audit": with_base(["votes"], ", p AS (SELECT case_id, list(vote) FILTER (slot <= 3) AS v FROM votes GROUP BY case_id HAVING count(*) FILTER (slot <= 3) = 3), q AS (SELECT case_id, len(list_filter(v, lambda x: x = 'Remove')) AS r FROM p) SELECT case_id, 'incomplete_panel' AS problem FROM q WHERE case_id % 7 = 0 UNION ALL SELECT case_id, 'repeated_rater' FROM q WHERE case_id % 5 = 0 UNION ALL SELECT case_id, 'remove_votes_differ' FROM q WHERE case_id % 3 = 0 AND r <> 3 UNION ALL SELECT case_id, 'distance_differs' FROM q WHERE case_id % 4 = 0 UNION ALL SELECT case_id, unnest(['routing_differs', 'label_differs']) FROM q WHERE r < 3"),
     "rater_names": "SELECT 'r' || s_nationkey AS rater FROM supplier UNION SELECT 'r' || (s_suppkey % 40) FROM supplier WHERE s_suppkey % 2 <> 0",
     "card_counts": f"WITH c AS ({plain(CARDS)}) SELECT 'label' AS counted, label AS value, count(*) AS n FROM c GROUP BY label UNION ALL SELECT 'source', source, count(*) FROM c GROUP BY source UNION ALL SELECT 'label_source', label || ':' || source, count(*) FROM c GROUP BY label, source UNION ALL SELECT 'basis', basis, count(*) FROM c GROUP BY basis",
     "bundle_counts": "SELECT 'examples' AS counted, '' AS value, count(*) AS n FROM lineitem UNION ALL SELECT 'families', '', count(DISTINCT l_partkey) FROM lineitem UNION ALL SELECT 'sources', '', count(DISTINCT l_suppkey) FROM lineitem UNION ALL SELECT 'split', l_returnflag, count(*) FROM lineitem GROUP BY l_returnflag UNION ALL SELECT 'label', l_linestatus, count(*) FROM lineitem GROUP BY l_linestatus",
