@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import functions as F
 
-from evalloom.functions import findings, rules
+from evalloom.functions import findings, rules, spans
 from evalloom.functions import text as T
 from evalloom.operators import benchmark, frontier, logs, relations, replay, schema_check, screen, usage
 from evalloom.plans.base import base, plain, sql, stored, with_base
@@ -127,9 +128,13 @@ def card_drift(spark, d):
 
 # --- text rules
 
-SAID = {"I am struggling to breathe.": True, "I don't feel short of breath.": False, "No fever, but I am short of breath.": True, "Shortness of breath is absent.": False, "They didn't say if there's any shortness of breath.": False}
-FINDINGS = [("breathing", "I am struggling to breathe.", True), ("bleeding", "My sister had a hemorrhagic stroke.", False), ("bleeding", "The heavy bleeding will not stop.", True), ("neurologic", "I am confused about the dose.", False), ("neurologic", "He can’t talk and has slurred speech.", True), ("sepsis", "I was worried it is sepsis, with a high fever.", False), ("mental_health", "Content warning: suicidal talk.", False), ("consciousness", "I fainted twice this morning.", True)]
-OPENINGS = [("Patient is my father and he has chest pain.", None, "unknown", "caregiver"), ("I have a 57-year-old patient with new weakness.", None, "unknown", "clinician"), ("I have chest pain. 34 F here.", 34, "female", "patient"), ("Age: 61 and sex: male, I feel dizzy.", 61, "male", "patient"), ("What is recommended? Should I go to hospital?", None, "unknown", "patient")]
+# Parts that sentences are made of: what stands before a finding (does it leave it said?), the finding, what follows.
+LEADS = [("", True), ("I have no ", False), ("It began with ", True), ("No fever, but there is ", True), ("They didn't say whether there is any ", False), ("We are worried about ", False), ("HE DENIES ", False), ("He was never ill; now ", True)]
+FOUND = [("breathing", "shortness of breath"), ("chest_pain", "chest tightness"), ("consciousness", "fainting"), ("neurologic", "slurred speech"), ("bleeding", "profuse bleeding"), ("sepsis", "shaking chills"), ("dehydration", "dehydration"), ("anaphylaxis", "tongue swelling"), ("mental_health", "self-harm")]
+TAILS = [(".", True), (" is absent.", False), (" since noon!", True)]
+# Who opens, and how age and sex are told.
+WHO = [("I have chest pain.", "patient"), ("My mother has chest pain.", "caregiver"), ("One of my patients has chest pain.", "clinician"), ("What is recommended?", "patient"), ("Thomas had a fit.", "caregiver"), ("I feel dizzy. My sister is here.", "patient")]
+AGED = [("", None, "unknown"), ("34 F here.", 34, "female"), ("male, then male 61.", 61, "male"), ("Age: 70.", 70, "unknown"), ("Sex: female.", None, "female"), ("I am a man.", None, "male"), ("150 m.", None, "unknown")]
 
 
 def _quoted(v) -> str:
@@ -141,22 +146,36 @@ def _picked(key: str, values: list) -> str:
 
 
 def _chosen(key: str, values: list):
-    return F.get(F.array(*[F.lit(v) for v in values]), (F.col(key) % len(values)).cast("int"))
+    return F.get(F.array(*[F.lit(v) for v in values]), F.expr(f"CAST({key} % {len(values)} AS INT)"))
+
+
+def _nth(*before: list) -> str:
+    """A key that runs through a list while those before it run through theirs."""
+    return "doc_id" if not before else f"CAST(floor(doc_id / {math.prod(map(len, before))}) AS BIGINT)"
+
+
+def _said(spark, d, findings_: list[str], *before: list):
+    """Whole documents, each with a sentence at its end."""
+    parts = [_chosen(_nth(), [x for x, _ in LEADS]), _chosen(_nth(LEADS), findings_), _chosen(_nth(LEADS, findings_), [x for x, _ in TAILS])]
+    return stored(spark, d, "documents").withColumn("t", F.concat(F.coalesce("text", F.lit("")), F.lit(". "), *parts))
 
 
 def asserted_findings(spark, d):
-    rows = sql(spark, d, "SELECT o_orderkey FROM {orders}").withColumn("t", _chosen("o_orderkey", list(SAID)))
-    return rows.select("o_orderkey", rules.asserted(list(findings.FLAGS["breathing"]))("t").alias("found"))
+    breath = ["shortness of breath", "wheezing"]
+    return _said(spark, d, breath).select("doc_id", spans.asserted(findings.FLAGS["breathing"], F.col("t")).alias("found"))
 
 
 def red_flags(spark, d):
-    rows = sql(spark, d, "SELECT o_orderkey FROM {orders}").select("o_orderkey", _chosen("o_orderkey", [f for f, _, _ in FINDINGS]).alias("flag"), _chosen("o_orderkey", [t for _, t, _ in FINDINGS]).alias("t"))
-    return rows.select("o_orderkey", "flag", findings.red_flag("flag", "t").alias("found"))
+    """The flag that each document's sentence is about, and all that its text raises."""
+    rows = _said(spark, d, [t for _, t in FOUND]).withColumn("flag", _chosen(_nth(LEADS), [f for f, _ in FOUND]))
+    rows = rows.select("doc_id", "flag", findings.red_flags(F.col("t")).alias("all"))
+    return rows.select("doc_id", "flag", F.array_contains("all", F.col("flag")).alias("found"), F.array_join("all", ",").alias("raised"))
 
 
 def speaker_profiles(spark, d):
-    rows = sql(spark, d, "SELECT o_orderkey FROM {orders}").withColumn("t", _chosen("o_orderkey", [o[0] for o in OPENINGS]))
-    return rows.select("o_orderkey", findings.speaker_profile("t", "t").alias("p")).select("o_orderkey", F.col("p.age").cast("long").alias("age"), "p.sex", "p.speaker_role")
+    opening = F.concat(_chosen(_nth(), [x for x, _ in WHO]), F.lit(" "), _chosen(_nth(WHO), [x for x, _, _ in AGED]))
+    rows = stored(spark, d, "documents").select("doc_id", opening.alias("opening"), F.concat(opening, F.lit(" "), F.coalesce("text", F.lit(""))).alias("t"))
+    return rows.select("doc_id", findings.speaker_profile(F.col("t"), F.col("opening")).alias("p")).select("doc_id", F.col("p.age").cast("long").alias("age"), "p.sex", "p.speaker_role")
 
 
 REASONED = "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, concat(CASE WHEN l_linenumber % 3 = 0 THEN 'no such part' ELSE concat('reasoning - because ', l_returnflag, chr(10), ' of it  ') END, chr(10), 'ACUITY: B') AS answer FROM {lineitem}"
@@ -397,9 +416,9 @@ SQL = {
     "card_counts": f"WITH c AS ({plain(CARDS)}) SELECT 'label' AS counted, label AS value, count(*) AS n FROM c GROUP BY label UNION ALL SELECT 'source', source, count(*) FROM c GROUP BY source UNION ALL SELECT 'label_source', label || ':' || source, count(*) FROM c GROUP BY label, source UNION ALL SELECT 'basis', basis, count(*) FROM c GROUP BY basis",
     "bundle_counts": "SELECT 'examples' AS counted, '' AS value, count(*) AS n FROM lineitem UNION ALL SELECT 'families', '', count(DISTINCT l_partkey) FROM lineitem UNION ALL SELECT 'sources', '', count(DISTINCT l_suppkey) FROM lineitem UNION ALL SELECT 'split', l_returnflag, count(*) FROM lineitem GROUP BY l_returnflag UNION ALL SELECT 'label', l_linestatus, count(*) FROM lineitem GROUP BY l_linestatus",
     "card_drift": "SELECT o_orderkey AS k, 'missing_row' AS field FROM orders WHERE o_orderkey % 11 = 0 UNION ALL SELECT o_orderkey, 'label' FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 5 = 0 UNION ALL SELECT o_orderkey, 'text' FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 3 = 0",
-    "asserted_findings": f"SELECT o_orderkey, {_picked('o_orderkey', list(SAID.values()))} AS found FROM orders",
-    "red_flags": f"SELECT o_orderkey, {_picked('o_orderkey', [f for f, _, _ in FINDINGS])} AS flag, {_picked('o_orderkey', [x for _, _, x in FINDINGS])} AS found FROM orders",
-    "speaker_profiles": f"SELECT o_orderkey, CAST({_picked('o_orderkey', [o[1] for o in OPENINGS])} AS BIGINT) AS age, {_picked('o_orderkey', [o[2] for o in OPENINGS])} AS sex, {_picked('o_orderkey', [o[3] for o in OPENINGS])} AS speaker_role FROM orders",
+    "asserted_findings": f"SELECT doc_id, {_picked(_nth(), [x for _, x in LEADS])} AND {_picked(_nth(LEADS, [0, 0]), [x for _, x in TAILS])} AS found FROM documents",
+    "red_flags": f"SELECT doc_id, flag, found, CASE WHEN found THEN flag ELSE '' END AS raised FROM (SELECT doc_id, {_picked(_nth(LEADS), [f for f, _ in FOUND])} AS flag, {_picked(_nth(), [x for _, x in LEADS])} AND {_picked(_nth(LEADS, FOUND), [x for _, x in TAILS])} AS found FROM documents)",
+    "speaker_profiles": f"SELECT doc_id, CASE WHEN who = 'patient' THEN CAST({_picked(_nth(WHO), [a for _, a, _ in AGED])} AS BIGINT) END AS age, CASE WHEN who = 'patient' THEN {_picked(_nth(WHO), [x for _, _, x in AGED])} ELSE 'unknown' END AS sex, who AS speaker_role FROM (SELECT doc_id, {_picked(_nth(), [x for _, x in WHO])} AS who FROM documents)",
     "reasoning_extract": f"SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, {_UNTIL} AS reasoning FROM lineitem",
     "object_extract": """SELECT p_partkey, CASE WHEN p_partkey % 4 <> 3 THEN '{"a": "x}", "b": ' || p_partkey || '}' END AS found FROM part""",
     "tidied_text": f"SELECT doc_id, {_stripped(_SQUEEZED.format("' fine ' || chr(13) || chr(10) || chr(13) || chr(10) || chr(13) || text || ' ' || chr(9) || ' x '"))} AS t FROM documents",

@@ -1,4 +1,4 @@
-"""Findings, speakers, screens against difflib, and the jobs from stored inputs to stored tables."""
+"""Screens against difflib, and the jobs from stored inputs to stored tables."""
 
 import json
 import random
@@ -8,82 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalloom import cli, jobs
-from evalloom.functions import findings, rules
+from evalloom.functions import rules
 from evalloom.operators import benchmark, relations, screen
 from evalloom.sources import files
 
-DENIED = [
-    ("breathing", "I don't feel short of breath."),
-    ("chest_pain", "The exam was negative for chest pain."),
-    ("chest_pain", "Chest pain is absent."),
-    ("bleeding", "I don’t see any blood."),
-    ("breathing", "They didn't say if there's any shortness of breath."),
-    ("consciousness", "Some days it is just a faint throbbing."),
-    ("bleeding", "My sister had a hemorrhagic stroke."),
-    ("neurologic", "From what I've learned online, the symptoms are rather simple: weakness or paralysis on one side of the body, eyesight problems, confusion, slurred speech and some degree of mental impairment."),
-    ("bleeding", "There was some bleeding but not my normal heavy bloody nightmare."),
-    ("sepsis", "I was wondering about sepsis and have a high fever."),
-    ("mental_health", "TW: suicide."),
-    ("neurologic", "I am confused about my dose."),
-    ("bleeding", None),
-]
-RAISED = [
-    ("breathing", "I am struggling to breathe."),
-    ("breathing", "No fever, but I am struggling to breathe."),
-    ("chest_pain", "No fever or cough, but I have crushing chest pain."),
-    ("neurologic", "No fever, but I have new one-sided weakness."),
-    ("neurologic", "No fever. New one-sided weakness."),
-    ("chest_pain", "Is this serious? I have crushing chest pain."),
-    ("neurologic", "I am worried about this because I have new facial droop."),
-    ("bleeding", "The heavy bleeding will not stop."),
-    ("bleeding", "No pain, but the heavy bleeding will not stop."),
-    ("bleeding", "There is a lot of bleeding that seems heavier than usual, with big clots."),
-    ("bleeding", "My mother is vomiting blood."),
-    ("bleeding", "I just puked up blood."),
-    ("bleeding", "Could this be serious? The heavy bleeding will not stop."),
-    ("consciousness", "I fainted twice this morning."),
-    ("consciousness", "He keeps slipping in and out of it."),
-    ("neurologic", "He can't really get words out."),
-    ("neurologic", "She's slurring her words."),
-    ("mental_health", "I attempted to hang myself twice."),
-    ("mental_health", "Trigger warning: I am suicidal."),
-]
-
-
-@pytest.mark.parametrize(("flag", "said"), RAISED)
-def test_flags_that_are_raised(flag, said):
-    assert findings.raises(flag, said)
-
-
-@pytest.mark.parametrize(("flag", "said"), DENIED)
-def test_flags_that_are_not(flag, said):
-    assert not findings.raises(flag, said)
-
-
-@pytest.mark.parametrize(
-    ("opening", "who"),
-    [
-        ("Patient is my father and he has chest pain.", "caregiver"),
-        ("Postpartum bleeding. My sister has soaked three pads.", "caregiver"),
-        ("Bf with Crohn's is having new symptoms.", "caregiver"),
-        ("Thomas had a sudden severe coughing fit.", "caregiver"),
-        ("I have a 57-year-old patient with new weakness.", "clinician"),
-        ("I have a roommate who keeps passing out.", "caregiver"),
-        ("I have chest pain that began this morning.", "patient"),
-        ("What is recommended? Should I go to hospital?", "patient"),
-        ("Am I pregnant? I had sex with my boyfriend.", "patient"),
-        (None, "patient"),
-    ],
-)
-def test_speakers(opening, who):
-    assert findings.speaker(opening) == who
-
-
-def test_profiles(spark):
-    rows = [("34 F here, my head hurts", 34, "female"), ("M 150, then m 20", 20, "male"), ("age: 61; I am a woman", 61, "female"), ("nothing", None, "unknown"), (None, None, "unknown")]
-    df = spark.createDataFrame([(t,) for t, _, _ in rows], "t string").select(findings.speaker_profile("t", "t").alias("p")).select("p.*")
-    assert [(r.age, r.sex, r.speaker_role) for r in df.collect()] == [(a, s, "patient") for _, a, s in rows]
-
 
 def test_tidy_is_the_plain_rule(spark):
     import re
