@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evalloom.operators import frontier, logs, relations, usage
+from evalloom.operators import frontier, logs, relations, snapshots, usage
 from evalloom.plans.base import base, sql, with_base
+from evalloom.session import work_path
 
 PRICES = (0.25, 0.025, 2.0)
 
@@ -82,6 +83,16 @@ def current_view_upsert(spark, d):
     return logs.current_view(log, ["request_key"], ["ts", "event_id"], ["outcome", "execution_id"], ["server_ms"], "event_id").withColumnRenamed("event_id", "created_event")
 
 
+def incremental_view(spark, d):
+    """The current view, kept up by three batches that together are the log, neither in order nor each once."""
+    log = base(spark, d, "attempts").withColumn("server_ms", F.when(F.col("event_id") % 3 == 0, usage.metadata_number("props", "$.k")))
+    view = snapshots.View(("request_key",), ("ts", "event_id"), ("outcome", "execution_id"), ("server_ms",), "event_id")
+    path = work_path(spark, "incremental-view")
+    for outcome in ("success", "retry", "terminal_error", "retry"):
+        snapshots.apply_batch(log.filter(F.col("outcome") == outcome), path, view, 16)
+    return snapshots.current(spark, path, view, log).withColumnRenamed("event_id", "created_event")
+
+
 def patched_attempts(spark, d):
     a = base(spark, d, "attempts").select("event_id", "execution_id", "request_wall_ms")
     late = a.filter("event_id % 4 = 0").select("event_id", (F.col("request_wall_ms") * 2).alias("request_wall_ms"))
@@ -123,7 +134,7 @@ def profile_singletons(spark, d):
     return frontier.singleton_profiles(rows, "execution_id", ["streaming", "concurrency", "phase"])
 
 
-QUERIES = {f.__name__: f for f in (latency_percentiles, execution_summary, usage_cost, status_counts, metadata_extract, profile_sets, request_latency, retry_rules, first_token, latest_success, current_view_upsert, patched_attempts, run_identity, run_status, lifecycle, numbered_attempts, pareto_frontier, macro_latency, profile_singletons)}
+QUERIES = {f.__name__: f for f in (latency_percentiles, execution_summary, usage_cost, status_counts, metadata_extract, profile_sets, request_latency, retry_rules, first_token, latest_success, current_view_upsert, incremental_view, patched_attempts, run_identity, run_status, lifecycle, numbered_attempts, pareto_frontier, macro_latency, profile_singletons)}
 
 _P = "round(quantile_cont(v, {q}), 6) AS p{n}_ms"
 PCT = ", ".join(_P.format(q=q, n=n) for q, n in ((0.5, 50), (0.9, 90), (0.95, 95), (0.99, 99)))
@@ -152,3 +163,4 @@ SELECT phase, attempts_tracked, legacy_parent_records, usage_records_expected, u
     "macro_latency": with_base(["attempts"], ", b AS (SELECT execution_id, event_id % 2 AS t, CASE WHEN execution_id % 5 <> 0 OR event_id % 50 <> 0 THEN request_wall_ms END AS v FROM attempts), p AS (SELECT execution_id, t, quantile_cont(v, 0.95) AS p, count(v) = count(*) AS whole FROM b GROUP BY ALL) SELECT execution_id, CASE WHEN count(*) FILTER (whole) = 2 THEN round(avg(p), 6) END AS macro_p95_ms FROM p GROUP BY execution_id"),
     "profile_singletons": with_base(["attempts"], ", b AS (SELECT execution_id, phase, CASE WHEN execution_id % 3 = 0 THEN event_id % 2 END AS streaming FROM attempts), c AS (SELECT execution_id, count(DISTINCT coalesce(streaming, -1)) AS s, count(DISTINCT phase) AS p FROM b GROUP BY execution_id) SELECT execution_id, 'streaming' AS field, s AS n FROM c WHERE s <> 1 UNION ALL SELECT execution_id, 'phase', p FROM c WHERE p <> 1"),
 }
+SQL["incremental_view"] = SQL["current_view_upsert"]
