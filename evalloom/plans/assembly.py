@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evalloom.functions import findings, rules, spans
 from evalloom.functions import text as T
-from evalloom.operators import benchmark, frontier, logs, relations, replay, schema_check, screen, usage
+from evalloom.operators import benchmark, frontier, logs, relations, replay, schema_check, screen, snapshots, usage
 from evalloom.plans.base import base, plain, sql, stored, with_base
 from evalloom.plans.cases import ACTIONS, STEPS, cards
 from evalloom.session import work_path
@@ -389,7 +389,17 @@ def live_attempts(spark, d):
     return live.drained(seen, work_path(spark, "stream-out"), work_path(spark, "stream-state")).select("execution_id", "request_key", "attempt_index")
 
 
-QUERIES = {f.__name__: f for f in (tag_category, category_router, first_variant, usable_texts, numbered_ids, assembled_benchmark, prompt_pair, judge_prompt, label_bases, panel_audit, rater_names, card_counts, bundle_counts, card_drift, asserted_findings, red_flags, speaker_profiles, reasoning_extract, object_extract, tidied_text, redacted_errors, fingerprints, axis_texts, judged_samples, accepted_candidates, self_near_duplicates, trace_answers, wrong_cards, wrong_actions, schema_counts, frontier_table, provider_usage, migrated_rows, jsonl_round_trip, csv_round_trip, table_round_trip, line_set, appended_log, written_once, json_records, markdown_table, manifest_counts, verified_sources, parameterised, action_traces, live_attempts)}
+def live_view(spark, d):
+    """The attempt log as a stream that keeps a current view up, run to its end."""
+    log = base(spark, d, "attempts").select("request_key", F.col("ts").cast("timestamp").alias("ts"), "event_id", "outcome", "execution_id")
+    path, view = _kept(spark, "view-log", lambda p: files.write_jsonl(log, p)), snapshots.View(("request_key",), ("ts", "event_id"), ("outcome", "execution_id"))
+    out = work_path(spark, "view")
+    seen = spark.readStream.schema(log.schema).json(path)
+    live.kept_up(seen, out, view, work_path(spark, "view-state"), 16).awaitTermination()
+    return snapshots.current(spark, out, view, log)
+
+
+QUERIES = {f.__name__: f for f in (tag_category, category_router, first_variant, usable_texts, numbered_ids, assembled_benchmark, prompt_pair, judge_prompt, label_bases, panel_audit, rater_names, card_counts, bundle_counts, card_drift, asserted_findings, red_flags, speaker_profiles, reasoning_extract, object_extract, tidied_text, redacted_errors, fingerprints, axis_texts, judged_samples, accepted_candidates, self_near_duplicates, trace_answers, wrong_cards, wrong_actions, schema_counts, frontier_table, provider_usage, migrated_rows, jsonl_round_trip, csv_round_trip, table_round_trip, line_set, appended_log, written_once, json_records, markdown_table, manifest_counts, verified_sources, parameterised, action_traces, live_attempts, live_view)}
 
 _TAG = plain(TAGGED)
 _UNTIL = "CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE 'because ' || l_returnflag || chr(10) || ' of it' END"
@@ -446,5 +456,6 @@ SQL = {
     "verified_sources": "SELECT * FROM (VALUES ('a.txt', 'verified', 'plain'), ('b.txt', 'fetch', 'plain'), ('a.txt', 'replace', 'refresh'), ('b.txt', 'fetch', 'refresh'), ('a.txt', 'verified', 'offline'), ('b.txt', 'missing_offline', 'offline')) t(name, state, how)",
     "parameterised": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' AND o_orderkey > 100",
     "action_traces": "SELECT CAST(t AS INT) AS trace, CAST(s AS INT) AS seq, CAST(n AS BIGINT) AS n FROM (VALUES (0, 0, 1), (0, 1, 2), (1, 0, 3), (2, 0, 4), (2, 1, 5)) x(t, s, n)",
+    "live_view": with_base(["attempts"], "SELECT request_key, arg_max(outcome, (ts, event_id)) AS outcome, arg_max(execution_id, (ts, event_id)) AS execution_id FROM attempts GROUP BY request_key"),
     "live_attempts": with_base(["attempts"], "SELECT DISTINCT execution_id, request_key, attempt_index FROM attempts"),
 }
