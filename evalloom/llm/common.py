@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Rows that one step of a Python worker handles at once, whatever Arrow's batches hold.
 SLICE_ROWS = 512
+#: Bytes of such a step, unless one row has more.
+SLICE_BYTES = 8 << 20
 #: So many rows of a few numbers, or so many bytes, may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
@@ -80,10 +82,17 @@ def trimmed() -> None:
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows and SLICE_BYTES, so that very long texts come by themselves."""
     trimmed()
     for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+        waiting = [b.slice(i, rows) for i in range(0, b.num_rows, rows)][::-1]
+        while waiting:
+            part = waiting.pop()
+            if part.nbytes > SLICE_BYTES and part.num_rows > 1:
+                half = part.num_rows // 2
+                waiting += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
 
 
 def ids_of(b: pa.RecordBatch, name: str = "doc_id") -> np.ndarray:

@@ -28,8 +28,8 @@ from pyspark.sql import Window as W
 from evalloom.llm.common import bytes_of, cut, docs_of, few, gram_sets, ids_of, mix64, sliced, tables
 from evalloom.llm.components import components
 
-#: Documents whose lists are folded within a task before the shuffle.
-FOLD_DOCS = 4_096
+#: Documents whose lists are folded within a task before the shuffle, and grams of their sets, unless one slice has more.
+FOLD_DOCS, FOLD_GRAMS = 4_096, 4 << 20
 #: Entries of inverted lists in one bucket, about.
 BUCKET_ENTRIES = 500_000
 #: Share of a set that its prefix is longer than it needs to be, in percent.
@@ -117,15 +117,17 @@ def fold(k: int, percent: int, buckets: int):
         return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], names=PARTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sets, held, turn = [], [], 0, 0
+        ids, sets, held, grams, turn = [], [], 0, 0, 0
         for b in sliced(batches):
+            new = gram_sets(bytes_of(b), k)
             ids.append(ids_of(b))
-            sets += gram_sets(bytes_of(b), k)
+            sets += new
             held += b.num_rows
-            if held >= FOLD_DOCS:
+            grams += sum(map(len, new))
+            if held >= FOLD_DOCS or grams >= FOLD_GRAMS:
                 turn += 1 + int(ids[0][0]) % 7919
                 yield emit(np.concatenate(ids), sets, turn)
-                ids, sets, held = [], [], 0
+                ids, sets, held, grams = [], [], 0, 0
         if held:
             yield emit(np.concatenate(ids), sets, turn + 1 + int(ids[0][0]) % 7919)
 

@@ -110,6 +110,49 @@ class Packer:
             yield from in_powers(out, self._max)
 
 
+class WholePacker:
+    """As Packer, but an example that fits a sequence is never cut, and sequences are padded instead.
+
+    Only what no sequence can hold is cut, into pieces as large as the limits let them be. A sequence takes,
+    of the pieces that fit whole, the one whose demands go best with what is free (the dot product of both, as
+    shares of the limits, and each limit weighed by what all waiting pieces ask of it), until none fits.
+    """
+
+    def __init__(self, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, open_pieces: int = OPEN_PIECES) -> None:
+        if max_tokens < 1 or max_segments < 1 or max_loss < 1:
+            raise ValueError("limits must be positive")
+        self._limits, self._most = np.array([max_tokens, max_segments, max_loss]), open_pieces
+        self._pieces: list[tuple[int, int, int]] = []
+        self._needs: list[tuple[int, int, int]] = []
+
+    def add(self, example: int, loss: np.ndarray) -> Iterator[list[tuple[int, int, int]]]:
+        before, start = np.r_[0, np.cumsum(loss)], 0
+        while start < len(loss):
+            end = min(len(loss), start + self._limits[0], np.searchsorted(before, before[start] + self._limits[2], "right") - 1)
+            self._pieces.append((example, start, int(end) - start))
+            self._needs.append((int(end) - start, 1, int(before[end] - before[start])))
+            start = int(end)
+        while len(self._pieces) > self._most:
+            yield self._sequence()
+
+    def finish(self) -> Iterator[list[tuple[int, int, int]]]:
+        while self._pieces:
+            yield self._sequence()
+
+    def _sequence(self) -> list[tuple[int, int, int]]:
+        needs = np.array(self._needs)
+        shares = needs / self._limits
+        asked, free, waits, out = shares.sum(0), self._limits.copy(), np.ones(len(needs), bool), []
+        while (fits := waits & (needs <= free).all(1)).any():
+            i = int(np.argmax(np.where(fits, shares @ (asked * free / self._limits), -1)))  # of equals the oldest
+            out.append(self._pieces[i])
+            waits[i] = False
+            free -= needs[i]
+        left = np.flatnonzero(waits)
+        self._pieces, self._needs = [self._pieces[i] for i in left], [self._needs[i] for i in left]
+        return out
+
+
 def in_powers(pieces: list[tuple[int, int, int]], full: int) -> Iterator[list[tuple[int, int, int]]]:
     """A sequence as it is if full; else cut into sequences whose lengths are powers of two."""
     left = sum(n for _, _, n in pieces)
@@ -141,13 +184,13 @@ def all_but_first(ids: np.ndarray) -> np.ndarray:
 Example = tuple[int, np.ndarray, np.ndarray]  # id, token ids, loss flags
 
 
-def _packed(examples: Callable[[Iterator[pa.RecordBatch]], Iterator[list[Example]]], limits: tuple[int, int, int], with_ids: bool):
+def _packed(examples: Callable[[Iterator[pa.RecordBatch]], Iterator[list[Example]]], limits: tuple[int, int, int], with_ids: bool, packer_of: type[Packer] | type[WholePacker] = Packer):
     """A function for mapInArrow: what examples() reads from the batches, packed; rows as pack() tells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        packer = Packer(*limits)
+        packer = packer_of(*limits)
         sequence = TaskContext.get().partitionId() << 33
         held: dict[int, list] = {}  # example -> doc_id, ids, loss flags, tokens not yet placed
         rows: list[tuple] = []
@@ -214,6 +257,8 @@ def pack_conversations(df: DataFrame, path: str, max_tokens: int = MAX_TOKENS, m
 
     The tokens of turns whose role is `speaks`, and the end id after such a turn, bear loss. A null text is
     empty, a null role bears none; turns of equal number come by role and text. Rows without an id are left out.
+
+    A conversation that fits a sequence is never cut; sequences that aren't full are padded (padding(pieces, powers=False)).
     """
     said = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = df.filter("conv_id IS NOT NULL").groupBy(F.col("conv_id").cast("long").alias("doc_id")).agg(F.array_sort(F.collect_list(said)).alias("t"))
@@ -229,13 +274,13 @@ def pack_conversations(df: DataFrame, path: str, max_tokens: int = MAX_TOKENS, m
                 out.append((i, np.concatenate(each), np.repeat(np.array(flags, bool), [len(x) for x in each])))
             yield out
 
-    return parts.mapInArrow(_packed(examples, (max_tokens, max_segments, max_loss), with_ids), PIECES + ", ids array<int>" * with_ids)
+    return parts.mapInArrow(_packed(examples, (max_tokens, max_segments, max_loss), with_ids, WholePacker), PIECES + ", ids array<int>" * with_ids)
 
 
-def padding(pieces: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """Of packed pieces: sequences, tokens and padding tokens (none at powers of two)."""
+def padding(pieces: DataFrame, max_tokens: int = MAX_TOKENS, powers: bool = True) -> DataFrame:
+    """Of packed pieces: sequences, tokens and padding tokens. powers: a sequence that is a power of two long has none."""
     size = pieces.groupBy("sequence_id").agg(F.sum("length").alias("n"))
-    whole = F.expr("bit_count(n) = 1")
+    whole = F.lit(powers) & F.expr("bit_count(n) = 1")
     return size.agg(F.count("*").alias("sequences"), F.sum("n").alias("tokens"), F.sum(F.when(whole, 0).otherwise(F.lit(max_tokens) - F.col("n"))).alias("padding"))
 
 
@@ -244,5 +289,5 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations, under limits that bind: 16 segments and 1,024 tokens that bear loss a sequence."""
+    """Conversations: at most 2,048 tokens, 1,024 that bear loss (what binds in the given tables) and 16 segments a sequence."""
     return pack_conversations(tables(spark, sf_dir, "conversations"), public_vocabulary())

@@ -31,8 +31,8 @@ END_ID = 1
 #: Documents whose ids train the dictionary, at most, and the characters of each that are used, from anywhere in it.
 TRAIN_DOCS, TRAIN_CHARACTERS = 1_000, 8_000
 DICT_BYTES = 64_000
-#: Documents of a shard, at most.
-SHARD_DOCS = 4_000
+#: Documents of a shard, at most, and bytes of their frames, unless one document has more.
+SHARD_DOCS, SHARD_BYTES = 4_000, 64 << 20
 #: Shards of a range of doc_id, about; a range is written by one task. Beyond so many ranges each has more shards.
 RANGE_SHARDS, MOST_RANGES = 4, 1 << 20
 CACHED_WORDS = 300_000
@@ -157,7 +157,7 @@ def _dictionary(raw: bytes):
     return zstandard.ZstdCompressionDict(raw)
 
 
-def write_token_shards(df: DataFrame, out: str, path: str, level: int = 3, shard_docs: int = SHARD_DOCS) -> None:
+def write_token_shards(df: DataFrame, out: str, path: str, level: int = 3, shard_docs: int = SHARD_DOCS, shard_bytes: int = SHARD_BYTES) -> None:
     """Write the documents' ids to the folder out, in the format above.
 
     A document is encoded and compressed in the task that reads it; only its frame moves. Shards follow
@@ -183,7 +183,7 @@ def write_token_shards(df: DataFrame, out: str, path: str, level: int = 3, shard
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted frames -> shards; a shard is closed when it is full or the next range begins."""
-        at, shard, first, ids, counts, frames = None, 0, 0, [], [], []
+        at, shard, first, size, ids, counts, frames = None, 0, 0, 0, [], [], []
 
         def closed() -> pa.RecordBatch:
             offsets = np.r_[0, np.cumsum([len(x) for x in frames])].astype("<i8")
@@ -192,11 +192,12 @@ def write_token_shards(df: DataFrame, out: str, path: str, level: int = 3, shard
 
         for b in batches:
             for r, i, c, f in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                if ids and (r != at or len(ids) == shard_docs):
+                if ids and (r != at or len(ids) == shard_docs or size + len(f) > shard_bytes):
                     yield closed()
                     shard, first = (shard + 1, first + sum(counts)) if r == at else (0, 0)
-                    ids, counts, frames = [], [], []
+                    size, ids, counts, frames = 0, [], [], []
                 at = r
+                size += len(f)
                 ids.append(i)
                 counts.append(c)
                 frames.append(f)

@@ -162,6 +162,27 @@ def test_token_shards_round_trip(spark, edge, tmp_path):
         start += len(ids)
 
 
+def test_token_shards_close_by_bytes(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"{i} words " * (i % 40)) for i in range(90)], "doc_id long, text string")
+    path, out = token_ids.public_vocabulary(), f"file://{tmp_path}/t"
+    token_ids.write_token_shards(df, out, path, shard_bytes=500)
+    size = [len(r.payload) for r in spark.read.parquet(f"{out}/shards").collect()]
+    docs = [len(r.doc_ids) // 8 for r in spark.read.parquet(f"{out}/shards").collect()]
+    assert len(size) > 3 and all(n <= 500 or k == 1 for n, k in zip(size, docs, strict=True))
+    token_ids.write_token_shards(df, f"{out}2", path)
+    assert sorted(map(tuple, token_ids.read_token_shards(spark, out).collect())) == sorted(map(tuple, token_ids.read_token_shards(spark, f"{out}2").collect()))
+
+
+def test_slices_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    texts = ["x" * n for n in (5, 20 << 20, 3 << 20, 3 << 20, 3 << 20, 0, 7)]
+    b = pa.RecordBatch.from_arrays([pa.array(range(7), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    parts = list(common.sliced(iter([b]), 512))
+    assert [i for p in parts for i in common.ids_of(p).tolist()] == list(range(7))
+    assert all(p.nbytes <= common.SLICE_BYTES or p.num_rows == 1 for p in parts) and len(list(common.sliced(iter([b.slice(0, 0)])))) == 0
+
+
 def test_token_shards_refuse_another_dictionary():
     with pytest.raises(ValueError, match="another dictionary"):
         token_ids.TokenReader(b"12345678").read({"dict_hash": "x"}, 0)
@@ -207,6 +228,23 @@ def test_packer_keeps_all_limits(limits):
     assert padding == 0
 
 
+@pytest.mark.parametrize(("limits", "longest", "most"), [((64, 5, 40), 60, 1.25), ((64, 3, 64), 25, 1.25), ((64, 64, 16), 40, 1.25), ((16, 1, 3), 30, 2.0), ((1, 1, 1), 3, 1.0)])
+def test_whole_packer_cuts_only_what_must_be(limits, longest, most):
+    rng = np.random.default_rng(4)
+    p, lengths, flags, sequences = packing.WholePacker(*limits, open_pieces=50), {}, {}, []
+    for ex in range(400):
+        loss = rng.random(int(rng.integers(1, longest))) < rng.random()
+        lengths[ex], flags[ex] = len(loss), loss
+        sequences += p.add(ex, loss)
+    sequences += p.finish()
+    out = [(ex, st, n, int(flags[ex][st : st + n].sum()), s) for s, pieces in enumerate(sequences) for ex, st, n in pieces]
+    seq = packed_well(out, lengths, limits)
+    cut = {e for e, c in Counter(x[0] for x in out).items() if c > 1}
+    assert cut == {e for e, f in flags.items() if len(f) > limits[0] or f.sum() > limits[2]}
+    least = max(sum(lengths.values()) / limits[0], len(out) / limits[1], sum(f.sum() for f in flags.values()) / limits[2])
+    assert len(seq) <= most * least + 1
+
+
 def test_pack_edges(spark, edge):
     got = packing.pack(edge, token_ids.public_vocabulary(), with_ids=True).collect()
     rows = [r for r in edge_rows() if r[0] is not None]
