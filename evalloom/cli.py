@@ -11,7 +11,7 @@ from evalloom import jobs
 from evalloom.operators.relations import CheckFailed
 from evalloom.session import session
 
-JOBS = {f.__name__: f for f in (jobs.build, jobs.validate, jobs.evaluate, jobs.report, jobs.compare, jobs.screened, jobs.replayed, jobs.checked, jobs.costs)}
+JOBS = {f.__name__: f for f in (jobs.build, jobs.seeded, jobs.bundled, jobs.validate, jobs.evaluate, jobs.report, jobs.compare, jobs.screened, jobs.replayed, jobs.checked, jobs.costs)}
 KINDS = {"list[str]": lambda x: x.split(","), "dict": json.loads, "int": int, "float": float}
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.functions.text import answer_label
-from evalloom.operators import agreement, benchmark, cost, frontier, relations, replay, schema_check, screen, usage
+from evalloom.operators import agreement, benchmark, cost, frontier, relations, replay, schema_check, screen, seeds, selection, usage
 from evalloom.sources import files
 
 
@@ -59,6 +59,26 @@ def build(spark: SparkSession, direct: str, surveyed: str, raw: str, out: str) -
     return _written({"benchmark": rows.orderBy("position"), "counts": benchmark.card_counts(rows, {"dataset": ["dataset"], "label": ["normalized_label"], "split": ["split"]})}, out)
 
 
+def seeded(spark: SparkSession, rows: str, plan: dict, out: str) -> dict[str, DataFrame]:
+    """Seed cards from a benchmark by a plan of quotas; a pool too small, or a case that comes twice, stops it before anything is written but the candidates."""
+    made = seeds.SeedPlan.of(plan)
+    benchmark_rows = relations.require_columns(spark.read.parquet(rows), set(seeds.COLUMNS)).select(*seeds.COLUMNS)
+    pools, quotas = ["normalized_label", "dataset"], seeds.quota_table(spark, made)
+    read = _written({"candidates": seeds.read(seeds.eligible(benchmark_rows, made), made)}, out)["candidates"]
+    taken = selection.quota_take(read, quotas, pools, "presentation_group", "information_score", "case_id")
+    relations.run_checks({"pools that are too small": selection.short_pools(taken, quotas, pools), "cases that come twice": relations.duplicates(taken, ["case_id"])})
+    cards = _written({"cards": seeds.cards(taken, made)}, out)["cards"]
+    counted = {"label": ["gold_acuity"], "dataset": ["source_dataset"], "label and dataset": ["gold_acuity", "source_dataset"], "group": ["presentation_group"]}
+    return {"candidates": read, "cards": cards} | _written({"counts": benchmark.card_counts(cards, counted), "candidate_counts": benchmark.card_counts(read, {"label and dataset": pools})}, out)
+
+
+def bundled(spark: SparkSession, examples: str, held_out: str, keys: list[str], family: str, source: str, split: str, label: str, out: str) -> dict[str, DataFrame]:
+    """Counts of training examples; none may be a held-out case, and no family may lie in two splits."""
+    rows = spark.read.parquet(examples)
+    relations.run_checks({"examples that are held out": screen.leaks(rows, spark.read.parquet(held_out), keys).select(*keys), "families in several splits": relations.crossings(rows, family, split)})
+    return _written({"counts": benchmark.bundle_counts(rows, family, source, split, label)}, out)
+
+
 def validate(spark: SparkSession, rows: str, ids: str, key: str, out: str) -> dict[str, DataFrame]:
     """Keys that are missing, extra or repeated against a list of ids, a line each."""
     df, want = spark.read.parquet(rows), files.read_lines(spark, ids).withColumnRenamed("value", key)
@@ -89,8 +109,13 @@ def report(spark: SparkSession, attempts: str, executions: str, models: str, out
     return _written({"latency": usage.latency_percentiles(log, ["phase"], ["request_wall_ms", "ttft_ms"], ok), "executions": usage.execution_summary(spark.read.parquet(executions), log), "usage": used}, out)
 
 
-def compare(spark: SparkSession, accuracy: str, used: str, latency: str, contracts: str, reference: str, fields_: list[str], tasks: list[str], out: str) -> dict[str, DataFrame]:
-    """The frontier of runs whose contract is the reference run's; runs that differ are told and left out."""
+def compare(spark: SparkSession, accuracy: str, used: str, latency: str, contracts: str, executions: str, profile: list[str], reference: str, fields_: list[str], tasks: list[str], out: str) -> dict[str, DataFrame]:
+    """The frontier of runs whose contract is the reference run's; runs that differ are told and left out.
+
+    Latencies of a run that was served under several settings (profile: columns of its executions) mean nothing
+    together, so such a run stops the comparison.
+    """
+    relations.run_checks({"runs of several serving settings": frontier.singleton_profiles(spark.read.parquet(executions), "run_id", profile)})
     runs = spark.read.parquet(contracts)
     differences = relations.differing(runs.filter(F.col("run_id") == reference), runs, "run_id", fields_)
     rows = frontier.frontier_rows(*(spark.read.parquet(p) for p in (accuracy, used, latency)), tasks).join(differences.select("run_id").distinct(), "run_id", "left_anti")
