@@ -334,15 +334,11 @@ def appended_log(spark, d):
 
 
 def written_once(spark, d):
-    """(written, again): the second writing of the same rows writes nothing, other rows are refused."""
-    rows, path = sql(spark, d, "SELECT r_regionkey, r_name FROM {region}"), work_path(spark, "once")
-    first, again = files.write_once(rows, path), files.write_once(rows, path)
-    try:
-        files.write_once(rows.limit(1), path)
-        refused = False
-    except relations.CheckFailed:
-        refused = True
-    return spark.createDataFrame([(first, again, refused)], "written boolean, again boolean, refused boolean")
+    """Rows as they were written to their end; the second writing of the same rows, in another order, writes nothing."""
+    rows, path = sql(spark, d, "SELECT o_orderkey, o_orderstatus FROM {orders}"), work_path(spark, "once")
+    files.write_once(rows, path)
+    files.write_once(rows.orderBy(F.desc("o_orderkey")), path)
+    return files.read_committed(spark, path, rows.schema)
 
 
 def json_records(spark, d):
@@ -449,7 +445,7 @@ SQL = {
     "table_round_trip": "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus <> 'P'",
     "line_set": "SELECT DISTINCT n_name AS value FROM nation",
     "appended_log": "SELECT r_regionkey, r_name FROM region UNION ALL SELECT r_regionkey, r_name FROM region",
-    "written_once": "SELECT true AS written, false AS again, true AS refused",
+    "written_once": "SELECT o_orderkey, o_orderstatus FROM orders",
     "json_records": """SELECT '{"a":null,"b":' || CASE WHEN o_orderkey % 2 = 0 THEN '"' || o_orderpriority || '"' ELSE 'null' END || ',"k":' || o_orderkey || '}' AS value FROM orders""",
     "markdown_table": "SELECT CAST(0 AS BIGINT) AS line, '| r_regionkey | name |' AS text UNION ALL SELECT 1, '| --- | --- |' UNION ALL SELECT 1 + row_number() OVER (ORDER BY r_regionkey), '| ' || r_regionkey || ' | ' || r_name || '\\|x |' FROM region",
     "manifest_counts": "SELECT o_orderstatus AS status, count(*) AS n, 'clear' AS mode FROM orders GROUP BY o_orderstatus",

@@ -284,6 +284,26 @@ def test_cost_scenario(spark):
     assert {r.category: float(r.cost) for r in cost.totals(cost.scenario(spark.sql(ASSUMED))).collect()}["all"] == 36062.2905
 
 
+def test_writes_are_committed(spark, tmp_path):
+    rows = [(i % 7, "é" * (i % 5)) for i in range(500)]
+    df, out = spark.createDataFrame(rows, "a int, b string"), f"file://{tmp_path}/rows"
+    assert files.write_once(df, out) and not files.write_once(spark.createDataFrame(rows[::-1], df.schema).repartition(5), out)
+    assert files.read_committed(spark, out, df.schema).count() == 500
+    for other in (rows[1:], [*rows, rows[0]], [*rows[1:], (0, "x")], []):
+        with pytest.raises(relations.CheckFailed, match="other rows"):
+            files.write_once(spark.createDataFrame(other, df.schema), out)
+    files.write_jsonl(df, f"file://{tmp_path}/foreign")  # rows without a digest: the same are taken over, others never overwritten
+    with pytest.raises(relations.CheckFailed, match="not written to its end"):
+        files.read_committed(spark, f"file://{tmp_path}/foreign", df.schema)
+    with pytest.raises(relations.CheckFailed, match="other rows"):
+        files.write_once(df.limit(3), f"file://{tmp_path}/foreign")
+    assert not files.write_once(df, f"file://{tmp_path}/foreign") and files.read_committed(spark, f"file://{tmp_path}/foreign", df.schema).count() == 500
+    (tmp_path / "broken" / "_temporary" / "0").mkdir(parents=True)
+    assert files.write_once(df, f"file://{tmp_path}/broken") and files.read_committed(spark, f"file://{tmp_path}/broken", df.schema).count() == 500
+    none = spark.createDataFrame([], df.schema)
+    assert files.write_once(none, f"file://{tmp_path}/none") and not files.write_once(none, f"file://{tmp_path}/none")
+
+
 def test_files(spark, tmp_path):
     df = spark.createDataFrame([(2, "x\ny", float("nan"), {"b": 1, "a": 2})], "b int, a string, n double, m map<string,int>")
     assert files.sorted_json(df).head().value == '{"a":"x\\ny","b":2,"m":{"a":2,"b":1},"n":null}'
