@@ -131,3 +131,20 @@ def test_screen_and_check_jobs(spark, tmp_path):
     assert found.count() == 20 and found.filter("exists(reasons, r -> r like 'generated_near_duplicate:%')").count() > 3
     bad = jobs.checked(spark, f"{top}/c", {"type": "object"}, "case_id", "text", f"{top}/out2")["violations"]
     assert bad.count() == 20
+
+
+@pytest.mark.parametrize("name, table", [("cost_scenario", "orders"), ("action_traces", "lineitem"), ("verified_sources", "documents")])
+def test_spark_reads_a_given_table(spark, name, table):
+    from evalloom.plans import registry
+
+    read = set()
+    made = spark.read.parquet
+
+    class Noted:
+        def parquet(self, path):
+            read.add(path.rsplit("/", 1)[-1])
+            return made(path)
+
+    noted = type("Session", (), {"read": Noted(), "__getattr__": lambda self, k: getattr(spark, k)})()
+    assert registry.QUERIES[name](noted, "/root/testdata/sf0.001").count() > 0
+    assert f"{table}.parquet" in read
