@@ -59,10 +59,18 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+#: What normalisation can change: characters beyond ASCII, and the one before them, which they may join. Nothing joins across the ASCII character after them.
+FOREIGN = r"[\x00-\x7F]?[^\x00-\x7F]+"
+
+
 def tidy(text: Column) -> Column:
-    """NFKC, line ends as newlines, blanks and blank lines squeezed; only what isn't ASCII passes through Python."""
+    """NFKC, line ends as newlines, blanks and blank lines squeezed; only what isn't ASCII passes through Python.
+
+    Of a text, its runs of other characters do, put together with the NULs that it no longer has; what is between them never leaves Spark.
+    """
     text = F.replace(text, F.lit("\x00"), F.lit(""))
-    plain = F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(_nfkc(F.when(~text.rlike(r"^\p{ASCII}*$"), text)))
+    runs = F.split(_nfkc(F.array_join(F.regexp_extract_all(text, F.lit(FOREIGN), F.lit(0)), "\x00")), "\x00", -1)
+    plain = F.array_join(F.zip_with(F.split(text, FOREIGN, -1), runs, lambda gap, run: F.concat(gap, F.coalesce(run, F.lit("")))), "")
     for pattern, by in ((r"\r\n?", "\n"), (r"[ \t]+", " "), (r"\n{3,}", "\n\n")):
         plain = F.regexp_replace(plain, pattern, by)
     return strip(plain)

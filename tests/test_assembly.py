@@ -133,6 +133,28 @@ def test_screen_and_check_jobs(spark, tmp_path):
     assert bad.count() == 20
 
 
+def test_tidy_sends_what_is_not_ascii_alone(spark, monkeypatch):
+    import re
+    import unicodedata
+
+    rng = random.Random(8)
+    letters = ["a", "e", "f", " ", "\n", "\u0301", "\u0327", "\u0345", "ﬁ", "½", "é", "한", "\u1100", "\u1161", "\u11a8", "Å", "🙂", "か", "\u3099", "ſ", "．"]
+    texts = ["".join(rng.choices(letters, k=rng.randrange(40))) for _ in range(2000)]
+
+    def plain(t):
+        t = unicodedata.normalize("NFKC", t)
+        return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", t)).strip()
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    assert [r.x for r in rows.select("k", rules.tidy(F.col("t")).alias("x")).orderBy("k").collect()] == [plain(t) for t in texts]
+    sent = []
+    monkeypatch.setattr(rules, "_nfkc", lambda c: sent.append(c) or c)
+    text = F.col("t")
+    rules.tidy(text)
+    long = spark.createDataFrame([("plain words " * 1000 + "ﬁn",)], "t string")
+    assert long.select(F.length(sent[0]).alias("n")).first().n == 2
+
+
 @pytest.mark.parametrize("name, table", [("cost_scenario", "orders"), ("action_traces", "lineitem"), ("verified_sources", "documents")])
 def test_spark_reads_a_given_table(spark, name, table):
     from evalloom.plans import registry
