@@ -128,6 +128,29 @@ def test_words_encode_as_whole_texts_do():
     assert got == [x.tolist() for x in encoded_whole(texts)]
 
 
+def test_conversations_are_encoded_by_the_slice(spark, monkeypatch):
+    """No call to the library for each conversation."""
+    calls = []
+
+    class Counted:
+        dtype = np.dtype("<u2")
+
+        def encode(self, texts):
+            calls.append(len(texts))
+            return [np.arange(len(t) + 1, dtype="<u2").tobytes() for t in texts]
+
+    rows = spark.createDataFrame([(c, t, "user", "ab") for c in range(20) for t in range(3)], "conv_id long, turn int, role string, text string")
+    monkeypatch.setattr(packing, "WordEncoder", lambda path: Counted())
+    run = {}
+    monkeypatch.setattr(packing, "_packed", lambda examples, *_: run.setdefault("of", examples) and (lambda batches: iter(())))
+    packing.pack_conversations(rows, "")
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(20)), "speaks": [[False] * 3] * 20, "texts": [["ab"] * 3] * 20})
+    (out,) = run["of"](iter([batch]))
+    assert calls == [60] and all(len(ids) == 2 + 2 + 3 for _, ids, _ in out)
+
+
 def test_other_vocabularies_are_encoded_whole(tmp_path):
     import os
 
