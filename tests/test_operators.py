@@ -262,6 +262,17 @@ def test_screen(spark):
     assert got[4].reasons == ["acuity_label_leaked_into_vignette"]
 
 
+def test_texts_of_a_screen_are_cut_into_words_once(spark):
+    rows = [(1, "One two, three FOUR"), (2, "one two"), (3, ""), (4, None), (5, "two three four two three four")]
+    a = screen.prepared(spark.createDataFrame(rows, "id int, t string").repartition(2), "id", "t")
+    b = screen.prepared(spark.createDataFrame([(7, "two three four five"), (8, "x"), (9, None)], "id int, t string").repartition(2), "id", "t")
+    out = screen.shared_trigrams(a, b)
+    assert sorted(map(tuple, out.collect())) == [(1, 7, 0.5), (5, 7, 0.5)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2, plan  # once a side: neither filters nor sizes compute words or trigrams anew
+    assert [tuple(r) for r in screen.contained_pairs(a, 0.5).collect()] == [(5, 1)]
+
+
 def test_routing_of_fragments(spark):
     f = spark.createDataFrame([("c", 0, "it hurts"), ("c", 1, "since monday"), ("c", 2, "since monday"), ("c", 3, "thanks")], "case string, idx int, fragment string")
     p = spark.createDataFrame([("when", "since"), ("pain", "hurts")], "slot string, pattern string")
