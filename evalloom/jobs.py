@@ -92,7 +92,8 @@ def evaluate(spark: SparkSession, samples: str, gold: str, out: str, expected: i
     rows = spark.read.parquet(samples)
     if "label" not in rows.columns:
         rows = rows.withColumn("label", answer_label(F.col("answer")))
-    joined, lost = relations.mandatory(rows, spark.read.parquet(gold), ["case_id"])
+    known = spark.read.parquet(gold)
+    joined, lost = relations.mandatory(*relations.in_parts([rows, known], ["case_id"], rows.count() + known.count()), ["case_id"])
     relations.run_checks({"samples without a case": lost})
     cases = agreement.case_predictions(agreement.severe_mode(joined, ["task_type", "case_id", "dataset", "gold", "split"], "label"), expected=expected)
     cases = _written({"cases": cases}, out)["cases"]

@@ -97,6 +97,18 @@ def test_severe_mode_ties_and_invalid(spark):
     assert got == {1: ("D", 2), 2: (None, 0), 3: ("B", 3)}
 
 
+def test_tasks_of_cases_grow_in_number_not_in_rows(spark, monkeypatch):
+    from evalloom.plans import agree
+
+    d = "/root/testdata/sf0.001"
+    before = sorted(map(tuple, agree.severe_mode(spark, d).collect()), key=str)
+    monkeypatch.setattr(relations, "PART_ROWS", 500)
+    rows = sum(spark.read.parquet(f"{d}/{t}.parquet").count() for t in ("lineitem", "orders"))
+    out = agree.severe_mode(spark, d)
+    assert out.rdd.getNumPartitions() == -(-rows // 500)
+    assert sorted(map(tuple, out.collect()), key=str) == before
+
+
 def test_empty_inputs_keep_their_columns(spark):
     none = report(spark).filter("false")
     assert agreement.metrics_by_sets(none).count() == 0 and "within_1" in agreement.metrics_by_sets(none).columns
