@@ -128,6 +128,27 @@ def test_words_encode_as_whole_texts_do():
     assert got == [x.tolist() for x in encoded_whole(texts)]
 
 
+def test_latin_words_with_marks_need_no_chain():
+    from tokenizers import Tokenizer
+
+    class NoBatch:
+        def __init__(self, tok):
+            self.encode = tok.encode
+
+        def encode_batch_fast(self, texts, **_):
+            assert not texts, texts
+            return []
+
+    rng = random.Random(4)
+    path = token_ids.public_vocabulary()
+    tok, enc = Tokenizer.from_file(path), token_ids.WordEncoder(path)
+    letters = [chr(c) for c in range(0xC0, 0x100) if chr(c) not in "\u00d7\u00f7"] + [*"aeinstAEIN"] * 3
+    marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randint(1, 9))) + "".join(rng.choices(marks, k=rng.choice([0, 0, 1, 3]))) for _ in range(60)) for _ in range(50)] + ["\u00catre*** blend!! don' l'' \u00df_"]
+    enc._tok = NoBatch(enc._tok)
+    assert [np.frombuffer(x, enc.dtype).tolist()[:-1] for x in enc.encode([t.encode() for t in texts])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_conversations_are_encoded_by_the_slice(spark, monkeypatch):
     """No call to the library for each conversation."""
     calls = []
