@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -555,6 +556,46 @@ def test_very_many_paragraphs_of_one_band(spark):
     assert roots(range(40), got) == roots(range(40), want) and len(want) > 40
 
 
+def test_links_of_a_fold_are_a_forest():
+    """Near copies within one fold: fewer links than classes go out, and they connect all that exact Jaccard connects."""
+    rng = random.Random(19)
+    base, texts = words(rng, 24).split(), []
+    for _ in range(60):
+        w = list(base)
+        w[rng.choice((0, 23))] = words(rng, 1)
+        texts.append(" ".join(w))
+    make = (24, 5, *substring_dedup.tuned(0.8, 0.98))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array(texts), pa.array(range(60), pa.int64())], names=["doc_id", "text", "text_id"])
+    sent = [r for b in substring_dedup.fold(make, 80, 4, 4, 512)(iter([batch])) for r in b.to_pylist()]
+    links = [(a, b) for r in sent if r["kind"] == "links" for a, b in zip(*(np.frombuffer(r[k], np.uint64).tolist() for k in ("marks", "more")), strict=True)]
+    cutter = substring_dedup.Paragraphs(*make)
+    _, _, grams, h = cutter.cut([t.encode() for t in texts])
+    sets = {int(n): frozenset(g.tolist()) for n, g in zip(substring_dedup.node_of(*cutter.marks(grams, h)), grams, strict=True)}
+    want = [(a, b) for a, b in combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert len(want) > 2 * len(sets) and 0 < len(links) < len(sets)
+    assert roots(sets, links) == roots(sets, want)
+
+
+def test_places_are_packed_in_few_bytes():
+    """Packed places are read back as they were, whatever their ids, and take 28 bytes each where every row has one."""
+    rng = np.random.default_rng(5)
+    cutter = substring_dedup.Paragraphs(24, 5, 4, 2)
+
+    def places(doc_ids, per_row, most):
+        row = np.repeat(np.array([(d, int(x)) for d, x in zip(doc_ids, rng.integers(-(1 << 63), 1 << 63, len(doc_ids)), strict=True)], substring_dedup.ROW), per_row)
+        marks = cutter.marks(*(rng.integers(0, 1 << 63, (len(row), n)).astype(np.uint64) * np.uint64(2) for n in (20, 24)))
+        return substring_dedup.Places(row, rng.integers(0, most, len(row)).astype(np.int32), *marks)
+
+    for doc_ids, per_row, most in ((range(1000), 1, 60_000), ([-(1 << 63), -1, 0, (1 << 63) - 1], 3, 1 << 31), (range(7, 9), 70_000, 200_000), ([5], 1, 1)):
+        p = places(doc_ids, per_row, most).sorted()
+        packed = p.packed(3, "lone")
+        got = substring_dedup.Places.read([packed]).sorted()
+        assert packed[:2] == (3, "lone") and len(packed) == len(substring_dedup.NAMES)
+        assert all(np.array_equal(getattr(got, k), getattr(p, k)) for k in ("row", "at", "m1", "m2"))
+        if per_row == 1 and len(p.at) == 1000:
+            assert sum(len(x) for x in packed[2:]) <= 28 * len(p.at)
+
+
 @pytest.mark.parametrize("mark", [".", ""])
 def test_each_passage_is_kept_once(spark, mark):
     """P1 stands in 5 and 9, P2 in 3 and 5, side by side; P3 in 6, 7 and 8, and in 7 and 8 with more words."""
